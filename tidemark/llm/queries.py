@@ -6,12 +6,14 @@ from .bpe import op10_byte_bpe
 from .mixing import op8_mix_sources
 from .pii import op2_personal_data
 from .quality import RULES, STOP_WORDS, op4_quality_rules
+from .substring import op6_difference_cover
 from .urls import op5_url_rules
 
 QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_rules": op5_url_rules,
+    "op6_difference_cover": op6_difference_cover,
     "op8_mix_sources": op8_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
 }
