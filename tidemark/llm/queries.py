@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .mixing import op8_mix_sources
+from .neardup import op3_hyperminhash
 from .pii import op2_personal_data
 from .quality import RULES, STOP_WORDS, op4_quality_rules
 from .substring import op6_difference_cover
@@ -11,6 +12,7 @@ from .urls import op5_url_rules
 
 QUERIES = {
     "op2_personal_data": op2_personal_data,
+    "op3_hyperminhash": op3_hyperminhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_rules": op5_url_rules,
     "op6_difference_cover": op6_difference_cover,
