@@ -182,4 +182,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", to
 def op6_difference_cover(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeats(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
