@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .ctw import op1_context_tree
 from .mixing import op8_mix_sources
 from .neardup import op3_hyperminhash
 from .pii import op2_personal_data
@@ -11,6 +12,7 @@ from .substring import op6_difference_cover
 from .urls import op5_url_rules
 
 QUERIES = {
+    "op1_context_tree": op1_context_tree,
     "op2_personal_data": op2_personal_data,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_quality_rules": op4_quality_rules,
