@@ -4,20 +4,18 @@ A difference cover D modulo P has, for any two places i and j, a shift below P t
 positions. So two equal passages of WINDOW words share an anchor of WINDOW - P + 1 words that starts on
 a cover position in both texts, and only cover positions (6 of 31) need hashing and shuffling.
 
-1. Anchors (hash, doc, place) of all texts; hashes seen in two different documents are shared.
-2. Extension: around each shared anchor, all windows that contain it are hashed (two 64-bit hashes, rolled
-   from prefix sums); the smallest document of each window hash is its owner, windows of later documents
-   are marked.
-3. Marks go back to their documents, and each text drops the words its marked windows cover.
-
-Documents whose word sequence as a whole equals that of a smaller document lose all words (if they hold a
-window) and leave steps 1 and 2, where the smaller one stands for them: any number of copies is
-one row there. Counts and owners are combined before each shuffle, hot hashes are split by the
-engine's skew handling of joins; nothing is collected but the marks of one document.
+Documents work in blocks (see blocks.py), texts are shuffled to their block's tasks once, and each
+step's questions and answers hold a key at most once for each block:
+1. Whole documents: a document whose word sequence equals that of a smaller one (and holds a window) loses all
+   its words and leaves the search, where the smaller one stands for it.
+2. Anchors: hashes seen in two different documents are shared.
+3. Extension: all windows around shared anchors are hashed (two 64-bit hashes, rolled from prefix sums); the
+   smallest document that holds a window owns it.
+4. Each text drops the words covered by windows that a smaller document owns.
 
 Defined results: null and empty texts have no words; a null id has no smaller document and is none, so
 nothing is removed; rows of one id never mark one another; repeated rows get equal results; other
-columns ride along.
+columns are left out of the shuffles but for those asked for.
 """
 
 from __future__ import annotations
@@ -27,156 +25,198 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import cut, read
+from .blocks import block_id, meet
+from .common import read
 
 WINDOW = 50
 PERIOD = 31
 #: Every difference modulo 31 occurs among these (a perfect difference set).
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
+NO_ID = np.iinfo(np.int64).min
+WHOLE, SHARED, OWNED = 0, 1, 2
+_KEYS = "block long, a long, b long, low long, high long"
+
+
+class _Chunk:
+    """A chunk of a block's texts with what every step needs of it."""
+
+    def __init__(self, first: int, data: np.ndarray, at: np.ndarray, ids: np.ndarray):
+        self.first, self.at, self.data = first, at, data
+        self.words = tb.Words(data, at)
+        self.id = ids[first : first + len(at) - 1]
+        self.sums = [tb.word_prefix(self.words.hashes(tb.byte_prefix(data, f), f), f) for f in (0, 1)]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray, family: int) -> np.ndarray:
+        return tb.word_runs(self.sums[family], start, end, family).view(np.int64)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        f = self.words.first
+        return self.hashes(f[:-1], f[1:], 0), self.hashes(f[:-1], f[1:], 1)
+
+    def copies(self, owner: "_Owners") -> np.ndarray:
+        """Documents that equal a smaller one."""
+        at = owner.of(*self.whole())
+        return (at != NO_ID) & (at < self.id) & (self.words.count >= WINDOW) & (self.id != NO_ID)
+
+    def by_word(self, of_doc: np.ndarray) -> np.ndarray:
+        return np.repeat(of_doc, self.words.count)
+
+
+class _Owners:
+    """Smallest documents of keys, from answers (a, b, low)."""
+
+    def __init__(self, answers: pa.Table, what: int):
+        rows = answers.filter(pa.array(answers.column("what").to_numpy() == what))
+        a = rows.column("a").to_numpy()
+        order = np.argsort(a, kind="stable")
+        self.a, self.b, self.low = a[order], rows.column("b").to_numpy()[order], rows.column("low").to_numpy()[order]
 
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The owner of each key, NO_ID without one."""
+        if not len(self.a):
+            return np.full(len(a), NO_ID)
+        i = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+        return np.where((self.a[i] == a) & (self.b[i] == b), self.low[i], NO_ID)
 
-def _whole(words: tb.Words, h: list[np.ndarray]) -> list[np.ndarray]:
-    """Hashes of whole word sequences, in both families, as signed integers."""
-    sums = [tb.word_prefix(x, f) for f, x in enumerate(h)]
-    return [tb.word_runs(s, words.first[:-1], words.first[1:], f).view(np.int64) for f, s in enumerate(sums)]
 
+def _chunks(texts: pa.Table) -> Iterator[_Chunk]:
+    ids = pc.fill_null(texts.column("doc"), NO_ID).to_numpy()
+    for first, data, at in tb.chunks(texts.column("text")):
+        yield _Chunk(first, data, at, ids)
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _asked(block: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Keys (a, b) of documents as one row each with the smallest and the largest document."""
+    a, b, doc = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else ((), (), ())))
+    order = np.lexsort((doc, b, a))
+    a, b, doc = a[order], b[order], doc[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(a))[: len(start)] - 1
+    n = len(start)
+    return pa.table({"block": pa.array(np.full(n, block, np.int64)), "a": pa.array(a[start]), "b": pa.array(b[start]), "low": pa.array(doc[start]), "high": pa.array(doc[end])})
+
+
+def _ask_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for i, data, at in tb.chunks(batch.column(1)):
-            w = tb.Words(data, at)
-            a, b = _whole(w, [w.hashes(tb.byte_prefix(data, f), f) for f in (0, 1)])
-            yield pa.RecordBatch.from_arrays([ids.slice(i, len(at) - 1), pa.array(w.count), pa.array(a), pa.array(b)], names=["_id", "_n", "_a", "_b"])
+        table = pa.Table.from_batches([batch])
+        for c in _chunks(table):
+            k = np.flatnonzero((c.words.count >= WINDOW) & (c.id != NO_ID))
+            a, b = c.whole()
+            blocks = batch.column(2).to_numpy()[c.first : c.first + len(c.id)][k]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(a[k]), pa.array(b[k]), pa.array(c.id[k]), pa.array(c.id[k])], names=["block", "a", "b", "low", "high"])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_anchors(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    owner, parts = _Owners(answers, WHOLE), []
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, data, at in tb.chunks(batch.column(1)):
-            w = tb.Words(data, at)
-            place = w.within()
-            n = np.repeat(w.count, w.count)
-            k = np.flatnonzero(cover[place % PERIOD] & (place + ANCHOR <= n) & (n >= WINDOW))
-            h = tb.word_runs(tb.word_prefix(w.hashes(tb.byte_prefix(data))), k, k + ANCHOR)
-            doc = np.repeat(ids[i : i + len(at) - 1], w.count)[k]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(place[k].astype(np.int32))], names=["_h", "_id", "_at"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, places of shared anchors) to hashes of all windows around them."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        marked, bounds = _lists(batch.column(2))
-        for i, data, at in tb.chunks(batch.column(1)):
-            w = tb.Words(data, at)
-            hit = np.zeros(len(w.start) + 1, np.int64)
-            for d in range(len(at) - 1):
-                first, last = w.first[d], w.first[d] + w.count[d] - WINDOW
-                if last < first:
-                    continue
-                p = marked[bounds[i + d] : bounds[i + d + 1]].astype(np.int64) + first
-                low, high = np.maximum(p - (PERIOD - 1), first), np.minimum(p, last) + 1
-                fit = low < high
-                np.add.at(hit, low[fit], 1)
-                np.add.at(hit, high[fit], -1)
-            k = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-            out = []
-            for f in (0, 1):
-                out.append(tb.word_runs(tb.word_prefix(w.hashes(tb.byte_prefix(data, f), f), f), k, k + WINDOW, f).view(np.int64))
-            doc = np.repeat(np.arange(i, i + len(at) - 1), w.count)[k]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(ids[doc].astype(np.int64)), pa.array(w.within()[k].astype(np.int32))], names=["_a", "_b", "_id", "_at"])
-
-
-def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and bounds of a list column; null counts as empty."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    sizes = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int64)
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    return values, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def _strip(kept: list[str], text: str, to: tuple[str, str, str]):
-    """Rows with marks to rows with the kept text; `to` names n_words, n_removed and the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            places, bounds = _lists(batch.column(batch.schema.get_field_index("_places")))
-            hashes, _ = _lists(batch.column(batch.schema.get_field_index("_hashes")))
-            copies, copy_bounds = _lists(batch.column(batch.schema.get_field_index("_copies")))
-            for i, data, at in tb.chunks(texts):
-                raw = data.tobytes()
-                m = len(at) - 1
-                n_words, n_removed, out = np.zeros(m, np.int64), np.zeros(m, np.int64), []
-                touched = [d for d in range(m) if bounds[i + d] < bounds[i + d + 1] or copy_bounds[i + d] < copy_bounds[i + d + 1]]
-                if touched:
-                    w = tb.Words(data, at)
-                    h = w.hashes(tb.byte_prefix(data))
-                    sums = tb.word_prefix(h)
-                    whole = tb.word_runs(sums, w.first[:-1], w.first[1:]).view(np.int64)
-                touched = set(touched)
-                for d in range(m):
-                    words = raw[at[d] : at[d + 1]].split()
-                    n_words[d] = len(words)
-                    if d in touched:
-                        gone = np.zeros(len(words) + 1, np.int64)
-                        if whole[d] in copies[copy_bounds[i + d] : copy_bounds[i + d + 1]]:
-                            gone[0] = 1
-                        p, x = places[bounds[i + d] : bounds[i + d + 1]], hashes[bounds[i + d] : bounds[i + d + 1]]
-                        p, x = p[p + WINDOW <= len(words)], x[p + WINDOW <= len(words)]
-                        k = p + w.first[d]
-                        p = p[tb.word_runs(sums, k, k + WINDOW).view(np.int64) == x]  # another row of this id may own the mark
-                        np.add.at(gone, p, 1)
-                        np.add.at(gone, p + WINDOW, -1)
-                        stays = np.cumsum(gone[:-1]) <= 0
-                        n_removed[d] = len(words) - int(stays.sum())
-                        words = [words[q] for q in np.flatnonzero(stays)]
-                    out.append(b" ".join(words))
-                part = batch.slice(i, m).select(kept)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words), pa.array(n_removed), pa.array(out, pa.binary()).cast(pa.string())], names=[*kept, *to])
+    for c in _chunks(texts):
+        place, n = c.words.within(), c.by_word(c.words.count)
+        open_ = c.by_word(~c.copies(owner) & (c.id != NO_ID))
+        k = np.flatnonzero(open_ & cover[place % PERIOD] & (place + ANCHOR <= n) & (n >= WINDOW))
+        h = c.hashes(k, k + ANCHOR, 0)
+        parts.append((h, np.zeros(len(h), np.int64), c.by_word(c.id)[k]))
+    return _asked(texts.column("block")[0].as_py() if texts.num_rows else 0, parts)
+
+
+def _near(c: _Chunk, owner: _Owners, shared: np.ndarray) -> np.ndarray:
+    """Starts of all windows that hold a shared anchor."""
+    place, n = c.words.within(), c.by_word(c.words.count)
+    fits = np.flatnonzero(c.by_word(~c.copies(owner) & (c.id != NO_ID)) & (place + ANCHOR <= n) & (n >= WINDOW))
+    hit = np.zeros(len(place) + 1, np.int64)
+    if len(shared) and len(fits):
+        cover = np.zeros(PERIOD, bool)
+        cover[list(COVER)] = True
+        p = fits[cover[place[fits] % PERIOD]]
+        p = p[np.isin(c.hashes(p, p + ANCHOR, 0), shared)]
+        first = p - place[p]
+        low, high = np.maximum(p - (PERIOD - 1), first), np.minimum(p, first + n[p] - WINDOW) + 1
+        np.add.at(hit, low, 1)
+        np.add.at(hit, high, -1)
+    return np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+
+
+def _shared(answers: pa.Table) -> np.ndarray:
+    return answers.filter(pa.array(answers.column("what").to_numpy() == SHARED)).column("a").to_numpy()
+
+
+def _ask_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    owner, shared, parts = _Owners(answers, WHOLE), _shared(answers), []
+    for c in _chunks(texts):
+        k = _near(c, owner, shared)
+        parts.append((c.hashes(k, k + WINDOW, 0), c.hashes(k, k + WINDOW, 1), c.by_word(c.id)[k]))
+    return _asked(texts.column("block")[0].as_py() if texts.num_rows else 0, parts)
+
+
+def _strip(kept: list[str], to: tuple[str, str, str]):
+    """Cogroup: a block's texts and all answers to it, to rows with the kept text."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        owner, owned, out = _Owners(answers, WHOLE), _Owners(answers, OWNED), []
+        n_words, n_removed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in _chunks(texts):
+            w = c.words
+            gone = np.zeros(len(w.start) + 1, np.int64)
+            copy = c.by_word(c.copies(owner))
+            if len(owned.a):
+                n = c.by_word(w.count)
+                k = np.flatnonzero((w.within() + WINDOW <= n) & c.by_word(c.id != NO_ID))
+                k = k[np.isin(c.hashes(k, k + WINDOW, 0), owned.a)]
+                low = owned.of(c.hashes(k, k + WINDOW, 0), c.hashes(k, k + WINDOW, 1))
+                k = k[(low != NO_ID) & (low < c.by_word(c.id)[k])]
+                np.add.at(gone, k, 1)
+                np.add.at(gone, k + WINDOW, -1)
+            drop = copy | (np.cumsum(gone[:-1]) > 0)
+            dropped = np.add.reduceat(np.append(drop, False).astype(np.int64), w.first[:-1]) * (w.count > 0)
+            raw = c.data.tobytes()
+            for d in range(len(c.at) - 1):
+                words = raw[c.at[d] : c.at[d + 1]].split()
+                if dropped[d]:
+                    words = [words[q] for q in np.flatnonzero(~drop[w.first[d] : w.first[d + 1]])]
+                out.append(b" ".join(words))
+            n_words.append(w.count)
+            n_removed.append(dropped)
+        columns = {k: texts.column("_" + k) for k in kept}
+        columns |= {to[0]: pa.array(np.concatenate(n_words)), to[1]: pa.array(np.concatenate(n_removed)), to[2]: pa.array(out, pa.binary()).cast(pa.string())}
+        return pa.table(columns)
 
     return run
 
 
+def _owners(asked: DataFrame, what: int) -> DataFrame:
+    """Answers to the blocks that asked for a key which two documents hold. A key has one row for each block."""
+    by = Window.partitionBy("a", "b")
+    found = asked.withColumn("least", F.min("low").over(by)).withColumn("most", F.max("high").over(by)).where("least < most")
+    return found.select("block", F.lit(what).alias("what"), "a", "b", F.col("least").alias("low"))
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", to: tuple[str, str, str] = ("n_words", "n_removed", "text")) -> DataFrame:
     """docs with the number of words, the number removed, and the kept words joined by spaces (in the
-    text's own column unless `to` names another). Texts are shuffled once: both joins by id read the same
-    exchange."""
-    known = docs.where(F.col(id_col).isNotNull())
-    texts = known.select(F.col(id_col), F.col(text))
-    whole = cut(texts.mapInArrow(_copies, "_id long, _n long, _a long, _b long").where(F.col("_n") >= WINDOW))
-    owners = whole.groupBy("_a", "_b").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last").drop("_last")
-    copied = whole.join(owners, ["_a", "_b"]).where("_owner < _id").groupBy("_id").agg(F.collect_set("_a").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    # An id whose rows differ may be a copy in one row only; only ids that are copies in every row leave the search.
-    rows = whole.groupBy("_id").agg(F.count(F.lit(1)).alias("_all"))
-    gone = copied.join(rows, "_id").where("_rows = _all").select("_id")
-
-    anchors = texts.mapInArrow(_anchors, "_h long, _id long, _at int")
-    shared = anchors.groupBy("_h").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high").select("_h")
-    near = anchors.join(shared, "_h").select("_id", "_at").join(gone, "_id", "left_anti").groupBy("_id").agg(F.collect_list("_at").alias("_places"))
-    windows = texts.join(near, texts[id_col] == near["_id"]).select(id_col, text, "_places").mapInArrow(_windows, "_a long, _b long, _id long, _at int")
-    first = windows.groupBy("_a", "_b").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last").drop("_last")
-    marks = windows.join(first, ["_a", "_b"]).where("_owner < _id").groupBy("_id").agg(F.collect_list(F.struct("_at", "_a")).alias("_m"))
-    marks = marks.join(copied.select("_id", "_copies"), "_id", "full_outer")
-    marks = marks.select("_id", F.col("_m._at").alias("_places"), F.col("_m._a").alias("_hashes"), "_copies")
-
+    text's own column unless `to` names another)."""
     kept = [c for c in docs.columns if c not in to]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), block_id().alias("block"), *[F.col(c).alias("_" + c) for c in kept if c != id_col or docs.schema[c].dataType != T.LongType()])
+    plain = [c for c in kept if "_" + c not in texts.columns]
+    each = texts.select("doc", "text", "block").mapInArrow(_ask_whole, _KEYS)
+    whole = _owners(each.groupBy("block", "a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")), WHOLE)
+    shared = _owners(meet(texts, whole, _ask_anchors, _KEYS), SHARED)
+    owned = _owners(meet(texts, whole.unionAll(shared), _ask_windows, _KEYS), OWNED)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(to[0], T.LongType()), T.StructField(to[1], T.LongType()), T.StructField(to[2], T.StringType())])
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("_places", "array<int>"), ("_hashes", "array<bigint>"), ("_copies", "array<bigint>"))]
-    inputs = list(dict.fromkeys([*kept, text]))
-    joined = known.join(marks, known[id_col] == marks["_id"], "left").select(*inputs, "_places", "_hashes", "_copies")
-    joined = joined.unionAll(docs.where(F.col(id_col).isNull()).select(*inputs, *none))
-    return joined.mapInArrow(_strip(kept, text, to), schema)
+    strip = _strip(kept, to)
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        for c in plain:
+            block = block.append_column("_" + c, block.column("doc"))
+        return strip(block, answers)
+
+    return meet(texts, whole.unionAll(owned), run, schema)
 
 
 def op6_difference_cover(spark, sf_dir: str) -> DataFrame:
