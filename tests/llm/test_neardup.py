@@ -51,12 +51,12 @@ def corpus(seed, n=60, copies=12):
     return rows + [(None, rows[3][1]), (2, rows[2][1])]
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_components_equal_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("whole, block", [(4000, 1000), (4, 3), (1, 1000)])
+def test_components_equal_brute_force(spark, whole, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus(4)
     df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, node int")
-    got = sorted(map(str, (tuple(r) for r in neardup.groups(df, rounds=1 if block == 3 else 3).collect())))
+    got = sorted(map(str, (tuple(r) for r in neardup.groups(df, rounds=1 if block == 3 else 3, whole=whole).collect())))
     want = sorted(str((d, n, c, c == d if d is not None else True)) for i, (n, c) in brute(rows).items() for d in [rows[i][0]])
     assert got == want
     assert neardup.first_of_each(df).where("doc_id is not null").count() == sum(f"{d}" != "None" and c == d for i, (n, c) in brute(rows).items() for d in [rows[i][0]])

@@ -8,13 +8,15 @@ similarity is estimated from the registers, corrected for chance collisions; wha
 threshold is confirmed on full sets.
 
 Equal sets are one class from the start, whatever their number, and stay out of all that follows but for
-one representative. Within a bucket (documents that share a band) no pairs are listed:
-1. Star rounds: members are compared with one leader of the bucket; who is linked is done there, the
+one representative. No candidate pairs are listed: buckets (classes that share a band) that have members in
+common form clusters, found by joins, and a cluster of up to WHOLE classes is compared inside one task, which gives
+its components. Larger ones take two steps:
+1. Star rounds: a bucket's members are compared with one leader of it; who is linked is done there, the
    others meet another leader in the next round.
-2. Rest: buckets that still hold several components are joined into clusters; each cluster's documents outside
-   its largest component are a query set that is compared with all its documents, block by block
-   inside tasks of bounded size, and only links come out. No candidate is left out.
-Components are found by joins; nothing but counts reaches the driver.
+2. Rest: where buckets still hold several components, each cluster's classes outside its largest component are a
+   query set that is compared with all its classes, block by block in tasks of bounded size,
+   and only links come out. No candidate is left out.
+Nothing but counts reaches the driver.
 
 A pair at the threshold 0.8 is missed by all 42 bands with a probability of about 3 in a million.
 
@@ -46,6 +48,8 @@ BANDS = REGISTERS // ROWS
 ROUNDS = 3
 #: Estimates this many standard errors below the threshold still go to the exact check.
 MARGIN = 4.0
+#: The largest cluster that one task compares whole.
+WHOLE = 4000
 #: Documents on each side of one block of comparisons, and pairs in one block of star comparisons.
 BLOCK = 1000
 PAIRS = 4000
@@ -115,19 +119,28 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0, (same / n - CHANCE) / (1 - CHANCE)), n
 
 
+def _node(x: np.ndarray) -> int:
+    """A set's own hash: equal for equal sets, whatever their texts."""
+    return int(tb.mix(np.array([np.add.reduce(tb.mix(x))], np.uint64)).view(np.int64)[0])
+
+
+def _rows(matrix: np.ndarray) -> pa.Array:
+    """A list column with one row of the matrix each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)), pa.array(matrix.ravel()))
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for i, data, at in tb.chunks(batch.column(1)):
-                n, a, b, s = [], [], [], []
+                n, h, s = [], [], []
                 for x in shingle_sets(data, at, k):
                     n.append(len(x))
-                    a.append(int(np.add.reduce(tb.mix(x))))
-                    b.append(int(np.add.reduce(tb.mix(x ^ _U(0xA5A5A5A55A5A5A5A)))))
-                    s.append(sketch(x).tobytes())
-                h = [tb.mix(np.array(v, np.uint64)).view(np.int64) for v in (a, b)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(at) - 1), pa.array(n, pa.int64()), pa.array(h[0]), pa.array(h[1]), pa.array(s, pa.binary())], names=["doc", "n", "node", "check", "sketch"])
+                    h.append(_node(x))
+                    s.append(sketch(x))
+                keys = band_keys(densify(np.stack(s)))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, len(at) - 1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), _rows(keys.view(np.int64))], names=["doc", "n", "node", "keys"])
 
     return run
 
@@ -141,9 +154,8 @@ def _sets(k: int):
             for i, data, at in tb.chunks(batch.column(0)):
                 keep, s, sets = [], [], []
                 for d, x in enumerate(shingle_sets(data, at, k)):
-                    h = tb.mix(np.array([np.add.reduce(tb.mix(x))], np.uint64)).view(np.int64)[0]
-                    if h == nodes[i + d]:
-                        keep.append(h)
+                    if _node(x) == nodes[i + d]:
+                        keep.append(nodes[i + d])
                         s.append(sketch(x).tobytes())
                         sets.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(s, pa.binary()), pa.array(sets, pa.binary())], names=["node", "sketch", "set"])
@@ -151,15 +163,6 @@ def _sets(k: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            s = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in part.column(1)])
-            keys = band_keys(densify(s))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "node"])
-
-
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted sets."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -210,6 +213,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(dealt.groupBy("block").cogroup(docs.groupBy("of")).applyInArrow(_verify(percent), "a long, b long"))
 
 
+def _within(percent: int):
+    """Group: a whole cluster (node, doc, sketch, set); gives each node's component by its smallest id. Documents
+    that already are in one component are not compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        store = _Store(table)
+        n = len(store.node)
+        keys, t = band_keys(densify(store.sketch)), percent / 100
+        comp = np.arange(n)
+        for i in range(1, n):
+            # The documents before this one that share a band, most similar first.
+            may = np.flatnonzero(100 * np.minimum(store.size[:i], store.size[i]) >= percent * np.maximum(store.size[:i], store.size[i]))
+            may = may[(keys[may] == keys[i]).any(1)]
+            if not len(may):
+                continue
+            j, used = estimate(store.sketch[may], store.sketch[i])
+            near = j >= t - MARGIN * np.sqrt(t * (1 - t) / used)
+            may = may[near][np.argsort(-j[near], kind="stable")]
+            for k in may:
+                if comp[k] != comp[i] and _linked(store.set(i), store.set(k), percent):
+                    comp[comp == comp[i]] = comp[k]
+        doc = table.column("doc").to_numpy()
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, comp, doc)
+        return pa.table({"node": pa.array(store.node), "least": pa.array(least[comp])})
+
+    return run
+
+
 def _rest(percent: int):
     """Group: one block of a cluster's documents (side 0) and one of its query set (side 1); gives one link for each query and component it reaches."""
 
@@ -263,20 +295,9 @@ def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
     return cells.groupBy("cluster", "i", "j").applyInArrow(_rest(percent), "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
-    """One row for each row of docs: its id, n_shingles, component_id and kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    sketches = cut(texts.mapInArrow(_sketches(words), "doc long, n long, node long, check long, sketch binary"))
-    real = sketches.where("n > 0 and doc is not null")
-    classes = real.groupBy("node").agg(F.min("doc").alias("doc"))
-    bands = real.join(classes, ["node", "doc"]).select("node", "sketch").dropDuplicates(["node"]).mapInArrow(_bands, "key long, node long")
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = cut(bands.join(full, "key"))
-    wanted = members.select("node").distinct().join(classes, "node")
-    sets = texts.where("doc is not null").join(wanted, "doc").select("text", "node").mapInArrow(_sets(words), "node long, sketch binary, set binary")
-    sets = cut(sets.dropDuplicates(["node"]))
-
-    found, open_ = [], members
+def _large(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """(node, least) for the documents of clusters too large for one task, by star rounds and the rest."""
+    found, open_ = [], members.select("key", "node")
     for r in range(rounds):
         leads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node"))["node"].alias("lead"))
         star = open_.join(leads, "key").where("node <> lead")
@@ -285,14 +306,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: i
             done = found[-1].select(F.col("a").alias("node"), F.col("b").alias("lead"))
             open_ = cut(star.join(done, ["node", "lead"], "left_anti").select("key", "node"))
     comps = components(reduce(DataFrame.unionAll, found))
-    more = rest_links(members, comps, sets, percent)
+    more = rest_links(members.select("key", "node"), comps, sets, percent)
     if more is not None:
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(more))
-    linked = classes.join(comps, "node")
-    least = linked.groupBy("comp").agg(F.min("doc").alias("least"))
+    linked = members.select("node", "doc").distinct().join(comps, "node")
+    return linked.join(linked.groupBy("comp").agg(F.min("doc").alias("least")), "comp").select("node", "least")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80, rounds: int = ROUNDS, whole: int = WHOLE) -> DataFrame:
+    """One row for each row of docs: its id, n_shingles, component_id and kept."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
+    sketches = cut(texts.mapInArrow(_sketches(words), "doc long, n long, node long, keys array<long>"))
+    real = sketches.where("n > 0 and doc is not null")
+    classes = real.groupBy("node").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
+    bands = classes.select("node", "doc", F.explode("keys").alias("key"))
+    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1").select("key", "lead")
+    members = cut(bands.join(full, "key"))
+
+    clusters = components(members.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    clusters = cut(clusters.join(sizes, "comp").select("node", F.col("comp").alias("cluster"), "size"))
+    wanted = members.select("node", "doc").distinct().join(clusters, "node")
+    sets = texts.where("doc is not null").join(wanted, "doc").select("text", "node").mapInArrow(_sets(words), "node long, sketch binary, set binary").dropDuplicates(["node"])
+    large = clusters.where(F.col("size") > whole)
+    if large.isEmpty():
+        least = sets.join(wanted, "node").groupBy("cluster").applyInArrow(_within(percent), "node long, least long")
+    else:
+        sets = cut(sets)
+        least = sets.join(wanted.where(F.col("size") <= whole), "node").groupBy("cluster").applyInArrow(_within(percent), "node long, least long")
+        least = least.unionAll(_large(cut(members.join(large.select("node"), "node")), sets, percent, rounds))
     # A class without links is its own component, under its smallest id.
-    least = classes.join(linked.join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc").alias("least"))
-    out = sketches.join(least.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")
+    named = real.groupBy("node").agg(F.min("doc").alias("doc")).join(least, "node", "left").select(F.col("node").alias("of"), F.coalesce("least", "doc").alias("least"))
+    out = sketches.select("doc", "n", "node").join(named, (F.col("node") == F.col("of")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")
     component = F.coalesce("least", "doc")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
