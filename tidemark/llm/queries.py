@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .bytespans import op9_bwt_merge
 from .ctw import op1_context_tree
 from .mixing import op8_mix_sources
 from .neardup import op3_hyperminhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_url_rules": op5_url_rules,
     "op6_difference_cover": op6_difference_cover,
     "op8_mix_sources": op8_mix_sources,
+    "op9_bwt_merge": op9_bwt_merge,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
