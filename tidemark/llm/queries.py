@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_adaptive_scan
 from .bpe import op10_byte_bpe
 from .bytespans import op9_bwt_merge
 from .ctw import op1_context_tree
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_rules": op5_url_rules,
     "op6_difference_cover": op6_difference_cover,
+    "op7_adaptive_scan": op7_adaptive_scan,
     "op8_mix_sources": op8_mix_sources,
     "op9_bwt_merge": op9_bwt_merge,
     "op10_byte_bpe": op10_byte_bpe,
