@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .blocks import block_id, meet
@@ -194,7 +195,7 @@ def _strings(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], size
 
 
-def _pieces(texts: pa.ChunkedArray | pa.Array, most: int = tb.CHUNK_BYTES):
+def _pieces(texts: pa.ChunkedArray | pa.Array, most: int = 1 << 20):
     """(first, canonical texts) of runs of texts with about `most` bytes."""
     part, first, size = [], 0, 0
     for i, t in enumerate(texts):
@@ -208,25 +209,33 @@ def _pieces(texts: pa.ChunkedArray | pa.Array, most: int = tb.CHUNK_BYTES):
 
 
 class _Counts:
-    """Distinct keys with added-up counts, merged whenever they have doubled."""
+    """Distinct keys with added-up training counts, merged whenever they have doubled."""
 
     def __init__(self):
         self.key, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.more: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, key: np.ndarray, n: np.ndarray) -> None:
-        key, inverse = np.unique(key, return_inverse=True)
-        self.more.append((key, np.bincount(inverse, n, minlength=len(key)).astype(np.int64)))
-        self.waiting += len(key)
-        if self.waiting > max(1 << 21, len(self.key)):
+    def add(self, key: np.ndarray, train: np.ndarray) -> None:
+        """Keys, and which of them stand in training texts."""
+        for use in (True, False):
+            part = np.sort(key[train == use])
+            if len(part):
+                start, _ = _groups(part)
+                n = np.diff(np.append(start, len(part))) if use else np.zeros(len(start), np.int64)
+                self.more.append((part[start], n))
+                self.waiting += len(start)
+        if self.waiting > max(1 << 20, len(self.key)):
             self.merge()
 
     def merge(self) -> None:
         key = np.concatenate([self.key, *(k for k, _ in self.more)])
         n = np.concatenate([self.n, *(n for _, n in self.more)])
-        self.key, inverse = np.unique(key, return_inverse=True)
-        self.n = np.bincount(inverse, n, minlength=len(self.key)).astype(np.int64)
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        if len(key):
+            start, _ = _groups(key)
+            self.key, self.n = key[start], np.add.reduceat(n, start)
         self.more, self.waiting = [], 0
 
 
@@ -243,7 +252,7 @@ def _count(depth: int):
         now, counts = None, _Counts()
         for batch in batches:
             blocks = batch.column(2).to_numpy()
-            train = batch.column(1).to_numpy(zero_copy_only=False)
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)]
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if lo == hi:
@@ -253,12 +262,13 @@ def _count(depth: int):
                     counts = _Counts()
                 now = blocks[lo]
                 for first, part in _pieces(batch.column(0).slice(lo, hi - lo)):
-                    use = train[lo + first : lo + first + len(part)].astype(np.int64)
+                    use = train[lo + first : lo + first + len(part)]
                     g, size = _strings(part, depth)
                     counts.add(g.view(np.int64), np.repeat(use, size))
                     data = np.frombuffer(b"".join(part), np.uint8)
                     words, n = _word_keys(data, np.concatenate([[0], np.cumsum(size)]))
-                    counts.add(np.concatenate([words, [END]]), np.concatenate([np.repeat(use, n), [use.sum()]]))
+                    counts.add(words, np.repeat(use, n))
+                    counts.add(np.full(len(use), END), use)
         if now is not None:
             yield from flush(now, counts)
 
@@ -335,28 +345,50 @@ def _predict(depth: int):
     return run
 
 
+class _Index:
+    """Values by 64-bit key, in an open-addressed table with at least two slots a key."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.key, self.value = np.append(key, 0), np.append(value, np.nan)
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.slot = np.full(1 << self.bits, len(key), np.int32)
+        todo, at = np.arange(len(key), dtype=np.int32), self._start(key)
+        while len(todo):
+            free = self.slot[at] == len(key)
+            self.slot[at[free]] = todo[free]
+            lost = self.slot[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & (len(self.slot) - 1)
+
+    def _start(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which must be there."""
+        at = self._start(key)
+        row = self.slot[at]
+        wrong = np.flatnonzero(self.key[row] != key)
+        while len(wrong):
+            if (row[wrong] == len(self.key) - 1).any():
+                raise ValueError("a block changed between counting and scoring")
+            at[wrong] = (at[wrong] + 1) & (len(self.slot) - 1)
+            row[wrong] = self.slot[at[wrong]]
+            wrong = wrong[self.key[row[wrong]] != key[wrong]]
+        return self.value[row]
+
+
 def _score(depth: int):
     """Cogroup: a block's texts and the values of its keys; gives each text's sums."""
 
     def run(texts: pa.Table, values: pa.Table) -> pa.Table:
-        key, v = values.column("key").to_numpy(), values.column("v").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key, v = key[order], v[order]
-
-        def look(keys: np.ndarray) -> np.ndarray:
-            i = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-            if not (key[i] == keys).all():
-                raise ValueError("a block changed between counting and scoring")
-            return v[i]
-
-        end = float(look(np.array([END]))[0])
+        look = _Index(values.column("key").to_numpy(), values.column("v").to_numpy())
+        end = float(look[np.array([END])][0])
         n_tokens, n_known, base, score = [], [], [], []
         for _, part in _pieces(texts.column("text")):
             g, size = _strings(part, depth)
-            score.append(np.add.reduceat(look(g.view(np.int64)), np.cumsum(size) - size))
+            score.append(np.add.reduceat(look[g.view(np.int64)], np.cumsum(size) - size))
             data = np.frombuffer(b"".join(part), np.uint8)
             words, n = _word_keys(data, np.concatenate([[0], np.cumsum(size)]))
-            x = look(words)
+            x = look[words]
             of = np.repeat(np.arange(len(part)), n)
             n_tokens.append(n + 1)
             n_known.append(np.bincount(of, x > 0, minlength=len(part)).astype(np.int64) + (end > 0))
@@ -367,24 +399,29 @@ def _score(depth: int):
     return run
 
 
+#: Keys are never null, else each join would filter them below the exchange that all branches share.
+_ASKED = T.StructType([T.StructField("block", T.LongType(), False), T.StructField("key", T.LongType(), False), T.StructField("n", T.LongType())])
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row for each of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts where held_out is false train. Defined results: a null or empty text is the end alone; a null id
     is scored like any other; without training texts nothing is known and every bit has probability 1/2."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), held_out.alias("held_out")).withColumn("block", block_id())
-    asked = texts.select("text", F.expr("not held_out").alias("train"), "block").mapInArrow(_count(depth), "block long, key long, n long")
+    asked = texts.select("text", F.expr("not held_out").alias("train"), "block").mapInArrow(_count(depth), _ASKED)
+    # One exchange serves all that follows: every branch reads all its columns and filters above it only.
     asked = asked.repartition("key")
-    totals = asked.groupBy("key").agg(F.sum("n").alias("n"))
-    strings = totals.where("key >= 0").select("key", "n", F.expr("cast(shiftright(key, 8) & 65535 as int)").alias("late"))
+    totals = asked.groupBy("key").agg(F.sum("n").alias("n"), F.min("block").alias("first"), F.max(F.col("key") < 0).alias("word"))
+    strings = totals.where("not word").select("key", "n", "first", F.expr("cast(shiftright(key, 8) & 65535 as int)").alias("late")).repartition("late")
     parts = strings.groupBy("late").applyInArrow(_subtree(depth), "what int, key long, x double")
     shallow = parts.groupBy("what", "key").agg(F.sum("x").alias("x")).withColumn("all", F.col("what") * 0).groupBy("all").applyInArrow(_shallow, "last int, shallow binary")
-    lates = strings.select(F.col("late").alias("to")).distinct().withColumn("last", F.expr("to & 255"))
-    guide = lates.join(shallow, "last").select("to", "shallow")
+    lates = strings.groupBy(F.col("late").alias("to")).agg(F.max("key").alias("key"), F.max("n").alias("n"), F.max("first").alias("first"))
+    guide = lates.withColumn("last", F.expr("to & 255")).join(shallow, "last")
     logs = strings.groupBy("late").cogroup(guide.groupBy("to")).applyInArrow(_predict(depth), "key long, v double")
-    words = totals.where("key < 0")
+    words = totals.where("word").withColumn("n", F.when(F.col("first").isNotNull(), F.col("n")))
     values = words.select("key", F.log10(F.col("n") + 1.0).alias("v")).unionAll(logs)
-    answers = asked.select("block", "key").join(values, "key").select("block", "key", "v")
+    answers = asked.join(values, "key").select("block", "key", F.when(F.col("n").isNotNull(), F.col("v")).alias("v"))
     sums = meet(texts, answers, _score(depth), docs.select(F.col(id_col).alias("doc")).schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double"))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct"))
     out = sums.crossJoin(F.broadcast(size))  # one row
