@@ -23,15 +23,19 @@ FEATURES = (
 #: The rise of the third day over the six days before, and what counts as a high day or an LH peak.
 RISE, HIGH, PEAK, PEAK_OVER_MEDIAN = 0.20, 0.15, 1.3, 1.5
 
-_DAYS = Window.partitionBy("cycle_id").orderBy("day")
-_SO_FAR = _DAYS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_CYCLE = Window.partitionBy("cycle_id")
+
+def _days():
+    return Window.partitionBy("cycle_id").orderBy("day")
+
+
+def _cycle():
+    return Window.partitionBy("cycle_id")
 
 
 def run_length(flag: Column) -> Column:
     """How many days in a row, up to this one, flag has held; a missing day ends a run."""
     holds = F.coalesce(flag, F.lit(False))
-    return F.when(holds, F.col("day") - F.coalesce(F.last(F.when(~holds, F.col("day")), ignorenulls=True).over(_SO_FAR), F.lit(0))).otherwise(0)
+    return F.when(holds, F.col("day") - F.coalesce(F.last(F.when(~holds, F.col("day")), ignorenulls=True).over(_days().rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))).otherwise(0)
 
 
 def with_ovulation(days: DataFrame, unit: float = 1.0) -> DataFrame:
@@ -39,11 +43,11 @@ def with_ovulation(days: DataFrame, unit: float = 1.0) -> DataFrame:
 
     The rise starts at the first day after the sixth that, with the two days after it, lies strictly above all of the
     six days before (four of them measured), the third day by at least 0.2 degrees."""
-    before = _DAYS.rowsBetween(-6, -1)
+    before = _days().rowsBetween(-6, -1)
     top = F.max("temp").over(before)
-    third = F.lead("temp", 2).over(_DAYS)
-    starts = (F.count("temp").over(before) >= 4) & (F.col("temp") > top) & (F.lead("temp", 1).over(_DAYS) > top) & (third > top) & (third - top >= F.lit(RISE * unit)) & (F.col("day") >= 7)
-    return days.withColumn("_first", F.when(starts, F.col("day") - 1)).withColumn("ov", F.min("_first").over(_CYCLE)).drop("_first")
+    third = F.lead("temp", 2).over(_days())
+    starts = (F.count("temp").over(before) >= 4) & (F.col("temp") > top) & (F.lead("temp", 1).over(_days()) > top) & (third > top) & (third - top >= F.lit(RISE * unit)) & (F.col("day") >= 7)
+    return days.withColumn("_first", F.when(starts, F.col("day") - 1)).withColumn("ov", F.min("_first").over(_cycle())).drop("_first")
 
 
 def with_phases(days: DataFrame, unit: float = 1.0) -> DataFrame:
@@ -52,15 +56,15 @@ def with_phases(days: DataFrame, unit: float = 1.0) -> DataFrame:
     low = F.when(F.col("day") <= end, F.col("temp"))
     out = with_ovulation(days, unit)
     out = out.withColumn("luteal", F.coalesce(F.col("day") > F.col("ov"), F.lit(False)))
-    out = out.withColumn("base", as_float32(F.coalesce(F.avg(low).over(_CYCLE), F.lit(0.0))))
-    out = out.withColumn("mean", as_float32(F.coalesce(F.avg("temp").over(_CYCLE), F.lit(0.0))))
-    out = out.withColumn("low_max", F.coalesce(F.max(F.when(F.col("day") <= F.col("ov"), F.col("temp"))).over(_CYCLE), F.lit(0.0)))
+    out = out.withColumn("base", as_float32(F.coalesce(F.avg(low).over(_cycle()), F.lit(0.0))))
+    out = out.withColumn("mean", as_float32(F.coalesce(F.avg("temp").over(_cycle()), F.lit(0.0))))
+    out = out.withColumn("low_max", F.coalesce(F.max(F.when(F.col("day") <= F.col("ov"), F.col("temp"))).over(_cycle()), F.lit(0.0)))
     out = out.withColumn("high", F.col("luteal") & (F.col("temp") > F.col("base") + F.lit(HIGH * unit)))
     minus = F.lit(float("-inf"))
     over = F.greatest(F.lit(PEAK * unit), F.col("lh_median") * PEAK_OVER_MEDIAN)
-    peak = (F.col("lh") > over) & (F.col("lh") >= F.coalesce(F.lag("lh").over(_DAYS), minus)) & (F.col("lh") >= F.coalesce(F.lead("lh").over(_DAYS), minus))
+    peak = (F.col("lh") > over) & (F.col("lh") >= F.coalesce(F.lag("lh").over(_days()), minus)) & (F.col("lh") >= F.coalesce(F.lead("lh").over(_days()), minus))
     out = out.withColumn("peak", F.coalesce(peak, F.lit(False)))
-    out = out.withColumn("jump", F.lead("temp").over(_DAYS) - F.col("temp"))
+    out = out.withColumn("jump", F.lead("temp").over(_days()) - F.col("temp"))
     out = out.withColumn("high_run", run_length(F.col("high")))
     out = out.withColumn("above_run", run_length(F.col("temp") >= F.col("mean")))
     return out.withColumn("below_run", run_length(F.col("temp") < F.col("mean")))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import cycles
+
+QUERIES: dict = {**cycles.QUERIES}
+ORACLE_SQL: dict = {**cycles.ORACLE_SQL}
