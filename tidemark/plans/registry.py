@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import cycles
+from tidemark.plans import charts, cycles
 
-QUERIES: dict = {**cycles.QUERIES}
-ORACLE_SQL: dict = {**cycles.ORACLE_SQL}
+QUERIES: dict = {**cycles.QUERIES, **charts.QUERIES}
+ORACLE_SQL: dict = {**cycles.ORACLE_SQL, **charts.ORACLE_SQL}
