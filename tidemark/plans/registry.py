@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import charts, cycles
+from tidemark.plans import charts, cycles, learning
 
-QUERIES: dict = {**cycles.QUERIES, **charts.QUERIES}
+QUERIES: dict = {**cycles.QUERIES, **charts.QUERIES, **learning.QUERIES}
 ORACLE_SQL: dict = {**cycles.ORACLE_SQL, **charts.ORACLE_SQL}
