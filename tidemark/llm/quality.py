@@ -115,17 +115,21 @@ def _fails(rule: Rule, measures: dict[str, Column]) -> Column:
 
 
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """docs with one struct column `_quality`: measures, base_failed, failed (names of rules) and kept."""
-    df = docs.withColumn("_m", _measures(F.col(text)))
-    m = {k: F.col(f"_m.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_marks", "n_stop_words", "n_letter_words")}
-    m |= {"n_lines": F.col("_m.lines.all"), "n_dup_lines": F.col("_m.lines.dup"), "one": F.lit(1)}
-    failed = F.array_compact(F.array(*[F.when(_fails(r, m), F.lit(r.name)) for r in (*base, *rules)]))
-    base_failed = F.lit(False)
-    for r in base:
-        base_failed = base_failed | _fails(r, m)
-    kept = F.size(failed) == 0
-    out = F.struct(*[m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed.alias("base_failed"), kept.alias("kept"), failed.alias("failed"))
-    return df.withColumn("_quality", out).drop("_m")
+    """docs with one struct column `_quality`: measures, base_failed, failed (names of rules) and kept.
+
+    The measures are bound once inside the expression, so that a filter on the verdict, which the optimizer
+    moves below the projection, computes them once too."""
+
+    def judged(m: Column) -> Column:
+        c = {k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_marks", "n_stop_words", "n_letter_words")}
+        c |= {"n_lines": m["lines"]["all"], "n_dup_lines": m["lines"]["dup"], "one": F.lit(1)}
+        failed = F.array_compact(F.array(*[F.when(_fails(r, c), F.lit(r.name)) for r in (*base, *rules)]))
+        base_failed = F.lit(False)
+        for r in base:
+            base_failed = base_failed | _fails(r, c)
+        return let(failed, lambda f: F.struct(*[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed.alias("base_failed"), (F.size(f) == 0).alias("kept"), f.alias("failed")))
+
+    return docs.withColumn("_quality", let(_measures(F.col(text)), judged))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
