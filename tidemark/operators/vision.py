@@ -122,3 +122,42 @@ def parse_answer(text: Column) -> Column:
 def answer_status(best: Column, sure: Column) -> Column:
     """Status of a cloud result by its points and confidence."""
     return F.when(best < 2, "not_a_chart").when(sure < LOW, "low_confidence").otherwise("extracted")
+
+
+def consent_config(consent: Column, enabled: Column, share: Column) -> Column:
+    """Routing settings of a user: without consent the cloud gets nothing."""
+    return F.struct((enabled & consent).alias("cloud_enabled"), F.when(consent, share).otherwise(F.lit(0.0)).alias("cloud_share"), consent.alias("consent_given"))
+
+
+def usable(points: DataFrame, key: str = "id", least: int = 3) -> DataFrame:
+    """(id, series, enabled): a series can be imported from three present days on."""
+    return points.groupBy(key, "series").agg((F.count_if(F.col("present") > PRESENCE) >= least).alias("enabled"))
+
+
+def measured(points: DataFrame) -> DataFrame:
+    """Values of present days only: interpolated ones are left out."""
+    return points.withColumn("value", F.when(F.col("present") > PRESENCE, F.col("value")))
+
+
+def losses(rows: DataFrame, beta: float = 0.05) -> DataFrame:
+    """One row: masked smooth L1 of values, cross-entropy of presence, of rows (value, present, true_value, true_present)."""
+    d = F.abs(F.col("value") - F.col("true_value"))
+    smooth = F.when(d < beta, 0.5 * d * d / beta).otherwise(d - 0.5 * beta)
+    p = clip(F.col("probability"), 1e-7, 1 - 1e-7)
+    bce = -F.when(F.col("true_present") > PRESENCE, F.log(p)).otherwise(F.log(1 - p))
+    return rows.agg(F.coalesce(F.avg(F.when(F.col("true_present") > PRESENCE, smooth)), F.lit(0.0)).alias("value_loss"), F.avg(bce).alias("presence_loss"))
+
+
+def scale_loss(logits: Column, truth: Column) -> Column:
+    """Cross-entropy of scale logits, null where the true scale is unknown (-1)."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.when(truth >= 0, F.log(total) + top - F.get(logits, truth))
+
+
+def evaluate_predictions(rows: DataFrame) -> DataFrame:
+    """One row: error on truly present days, precision, recall and F1 of presence."""
+    t, p = F.col("true_present") > PRESENCE, F.col("present") > PRESENCE
+    g = rows.agg(F.avg(F.when(t, F.abs(F.col("value") - F.col("true_value")))).alias("mae"), F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
+    div = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return g.select("mae", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(F.col("tp") * 2.0, F.col("tp") * 2 + F.col("fp") + F.col("fn")).alias("f1"))
