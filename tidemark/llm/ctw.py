@@ -195,7 +195,7 @@ def _strings(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], size
 
 
-def _pieces(texts: pa.ChunkedArray | pa.Array, most: int = 1 << 20):
+def _pieces(texts: pa.ChunkedArray | pa.Array, most: int = 1 << 19):
     """(first, canonical texts) of runs of texts with about `most` bytes."""
     part, first, size = [], 0, 0
     for i, t in enumerate(texts):

@@ -73,4 +73,37 @@ select doc_id, size, n as source_size, target,
   (size * (floor(target)::bigint // greatest(n, 1)) + greatest(0, least(size, floor(target)::bigint % greatest(n, 1) - before)))::bigint as taken
 from p join f on p.source is not distinct from f.source"""
 
-ORACLE_SQL = {"op4_quality_rules": _OP4, "op8_mix_sources": _OP8}
+#: A text's set: its distinct pairs of words, or the only word.
+_OP3 = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, unnest(list_distinct(case when len(ws) < 2 then ws else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end)) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+r(doc_id, comp) as (select doc_id, doc_id from d union select e.b, r.comp from r join e on e.a = r.doc_id),
+m as (select doc_id, min(comp) as comp from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.comp as component_id, m.comp = d.doc_id as kept from d join m using (doc_id) left join n using (doc_id)"""
+
+_OP6 = rf"""
+with {_DOCS},
+w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from docs),
+win as (select doc_id, unnest(range(1, len(ws) - 48)) as i, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) as k from docs where len(ws) >= 50),
+f as (select k, min(doc_id) as m from win group by 1),
+g as (select win.doc_id, win.i from win join f using (k) where f.m < win.doc_id),
+c as (select w.doc_id, w.i, w.w, max((g.i is not null)::int) over (partition by w.doc_id order by w.i rows between 49 preceding and current row) as gone from w left join g on g.doc_id = w.doc_id and g.i = w.i),
+t as (select doc_id, sum(gone)::bigint as n_removed, string_agg(w, ' ' order by i) filter (gone = 0) as kept from c group by 1)
+select docs.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join t using (doc_id)"""
+
+_OP9 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+win as (select doc_id, unnest(range(0, n - 99)) as i, unnest(list_transform(range(0, n - 99), lambda i: md5_number_lower(substr(h, 2 * i + 1, 200)))) as k from d where n >= 100),
+f as (select k, min(doc_id * 100000000 + i) as m from win group by 1),
+g as (select win.doc_id, win.i from win join f using (k) where f.m < win.doc_id * 100000000 + win.i),
+b as (select doc_id, unnest(range(0, n)) as i from d),
+c as (select b.doc_id, b.i, max((g.i is not null)::int) over (partition by b.doc_id order by b.i rows between 99 preceding and current row) as gone from b left join g on g.doc_id = b.doc_id and g.i = b.i),
+s as (select *, (gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0) as starts, (gone = 0 and coalesce(lag(gone) over (partition by doc_id order by i), 1) = 1) as stays, (gone = 0 and coalesce(lead(gone) over (partition by doc_id order by i), 1) = 1) as ends from c),
+t as (select doc_id, sum(gone) as n_removed, count_if(starts) as n_spans, list(i order by i) filter (stays) as lo, list(i order by i) filter (ends) as hi from s group by 1)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(range(1, len(lo) + 1), lambda j: substr(h, 2 * lo[j] + 1, 2 * (hi[j] - lo[j] + 1))), ''), ''))) as kept_sha256 from d left join t using (doc_id)"""
+
+ORACLE_SQL = {"op3_hyperminhash": _OP3, "op4_quality_rules": _OP4, "op6_difference_cover": _OP6, "op8_mix_sources": _OP8, "op9_bwt_merge": _OP9}

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _RNG = np.random.Generator(np.random.PCG64(20240229))
