@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import charts, cycles, learning
+from tidemark.plans import charts, cycles, learning, rasters
 
-QUERIES: dict = {**cycles.QUERIES, **charts.QUERIES, **learning.QUERIES}
-ORACLE_SQL: dict = {**cycles.ORACLE_SQL, **charts.ORACLE_SQL}
+QUERIES: dict = {**cycles.QUERIES, **charts.QUERIES, **rasters.QUERIES, **learning.QUERIES}
+ORACLE_SQL: dict = {**cycles.ORACLE_SQL, **charts.ORACLE_SQL, **rasters.ORACLE_SQL}
