@@ -192,7 +192,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
 
 def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs plus `_pii`: a struct with the base spans of each kind and `secret`, the spans the method adds."""
+    """docs plus `_pii`: a struct with the base spans of each kind and `secret`, the spans the method adds: accepted candidates
+    that no base span holds whole."""
     t = F.col(text)
     base = F.struct(*[base_spans(t, k).alias(k) for k in KINDS])
 
@@ -204,7 +205,7 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def add(b: Column) -> Column:
         taken = F.concat(*[b[k] for k in KINDS])
-        free = lambda c: let(taken, lambda x: ~F.exists(x, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+        free = lambda c: let(taken, lambda x: ~F.exists(x, lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"])))
         new = F.filter(candidates(t), lambda c: accepted(c) & free(c))
         return F.struct(*[b[k].alias(k) for k in KINDS], F.transform(new, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))).alias(ADDED))
 
