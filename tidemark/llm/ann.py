@@ -33,7 +33,7 @@ SAMPLE = 20_000
 LIST = 1024
 LISTS = 4096
 #: Share of the lists that each query scans.
-PROBE = 0.8
+PROBE = 0.9
 COLUMNS = 16
 #: Width of the test in standard errors: larger drops later.
 EPSILON = 3.0
