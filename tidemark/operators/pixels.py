@@ -467,3 +467,20 @@ def best_rows(content: DataFrame, most: int = 7) -> DataFrame:
     """One row a name: of several with a name the fullest, then the upper; rows (image_id, idx, row_name, populated)."""
     w = Window.partitionBy("image_id", "row_name").orderBy(F.desc("populated"), "idx")
     return content.where(F.col("idx") < most).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def row_bands(pixels: DataFrame, region: DataFrame) -> DataFrame:
+    """(image_id, y0, y1): bands of rows that hold something, dark or coloured: at least 8 % of the fullest row and three pixels, smoothed
+    over three rows, five rows high; bands up to five rows apart are one. region: (image_id, x0, y0, x1, y1)."""
+    c = pixels.join(region, "image_id").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    ink = c.where((gray(F.col("r"), F.col("g"), F.col("b")) <= DARK) | (hsv(F.col("r"), F.col("g"), F.col("b"))["s"] >= 60))
+    counts = ink.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = region.withColumn("y", F.explode(F.sequence("y0", "y1"))).select("image_id", "y").join(counts, ["image_id", "y"], "left").na.fill(0)
+    w = Window.partitionBy("image_id").orderBy("y")
+    smooth = F.avg("n").over(w.rowsBetween(-1, 1))
+    active = rows.withColumn("s", smooth).withColumn("m", F.max("s").over(Window.partitionBy("image_id"))).where((F.col("s") >= 3.0) & (F.col("s") >= 0.08 * F.col("m")))
+    bands = active.withColumn("_i", F.col("y") - F.row_number().over(w)).groupBy("image_id", "_i").agg(F.min("y").alias("y0"), F.max("y").alias("y1")).where("y1 - y0 >= 4")
+    by_start = Window.partitionBy("image_id").orderBy("y0")
+    starts = F.coalesce(F.col("y0") - F.lag("y1").over(by_start) > 5, F.lit(True)).cast("int")
+    grouped = bands.withColumn("_new", starts).withColumn("_g", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("image_id", "_g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_g")

@@ -161,3 +161,35 @@ def evaluate_predictions(rows: DataFrame) -> DataFrame:
     g = rows.agg(F.avg(F.when(t, F.abs(F.col("value") - F.col("true_value")))).alias("mae"), F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
     div = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     return g.select("mae", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(F.col("tp") * 2.0, F.col("tp") * 2 + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def request_state(ready: Column, body: Column, answer: Column, answer_code: Column) -> Column:
+    """(code, error, image, lang) of a request to digitise a chart, from whether the service is configured, the request's body and the
+    upstream's answer: 503 where it isn't, 400 for a bad body or image, 502 for an answer that failed or isn't JSON, else 200."""
+    image, lang = F.get_json_object(body, "$.image"), F.get_json_object(body, "$.lang")
+    bad_body = F.get_json_object(body, "$").isNull()
+    bad_image = ~F.coalesce(image.startswith("data:image/"), F.lit(False))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    unread = F.get_json_object(bare, "$").isNull()
+    checks = (
+        (~ready, 503, "cloud_unavailable"), (bad_body, 400, "bad_request"), (bad_image, 400, "missing_image"), (answer_code.isNull(), 502, "upstream_unreachable"),
+        (~answer_code.between(200, 299), 502, "upstream_error"), (unread, 502, "unparseable_model_output"),
+    )
+    code, error = F.lit(200), F.lit(None).cast("string")
+    for test, number, name in checks[::-1]:
+        code, error = F.when(test, number).otherwise(code), F.when(test, name).otherwise(error)
+    return F.struct(code.alias("code"), error.alias("error"), image.alias("image"), lang.alias("lang"))
+
+
+def answer_days(answers: DataFrame, key: str = "id", days: int = 35) -> DataFrame:
+    """(id, series, day, value, present) of parsed answers (id, scale, temp, lh): places between 0 and 1 of the scale's range, 0 and absent
+    where the answer has no number."""
+    from tidemark.operators.series import LH_RANGE, SCALES, normalise
+
+    f = F.col("scale") == "fahrenheit"
+    low, high = F.when(f, SCALES[1][1]).otherwise(SCALES[0][1]), F.when(f, SCALES[1][2]).otherwise(SCALES[0][2])
+    both = F.explode(F.array(F.struct(F.lit("temp").alias("series"), F.col("temp").alias("v"), low.alias("lo"), high.alias("hi")), F.struct(F.lit("lh").alias("series"), F.col("lh").alias("v"), F.lit(LH_RANGE[0]).alias("lo"), F.lit(LH_RANGE[1]).alias("hi"))))
+    d = answers.select(key, both.alias("s")).select(key, "s.*").withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    v = F.get("v", F.col("day"))
+    there = v.isNotNull() & ~F.isnan(v)
+    return d.select(key, "series", "day", F.when(there, normalise(v, F.col("lo"), F.col("hi"))).otherwise(0.0).alias("value"), there.cast("int").alias("present"))

@@ -146,11 +146,30 @@ def normalise_series(spark, sf_dir):
     return r.select("cycle_id", "day", F.round(series.normalise(F.col("temp") / 100, F.lit(36.2), F.lit(36.5)), 6).alias("value"))
 
 
+def request_states(spark, sf_dir):
+    i = F.col("cycle_id")
+    body = F.when(i % 7 == 1, "not json").when(i % 7 == 2, '{"lang": "en"}').when(i % 7 == 3, '{"image": "http://x"}').otherwise('{"image": "data:image/png;base64,AA", "lang": "fr"}')
+    answer = F.when(i % 5 == 0, "sorry").when(i % 5 == 1, '```json\n{"scale": "celsius"}\n```').otherwise('{"scale": "fahrenheit"}')
+    code = F.when(i % 11 == 0, F.lit(None)).when(i % 11 == 1, 500).otherwise(200)
+    return _ids(spark, sf_dir).select("cycle_id", vision.request_state(i % 13 != 0, body, answer, code.cast("int")).alias("s")).select("cycle_id", "s.code", "s.error", "s.lang")
+
+
+def answer_days(spark, sf_dir):
+    i = F.col("cycle_id").cast("double")
+    a = _ids(spark, sf_dir).select(F.col("cycle_id").alias("id"), F.when(F.col("cycle_id") % 2 == 0, "fahrenheit").otherwise("celsius").alias("scale"), F.array(36.5 + i % 3, F.lit(None), 97.0 + i % 4).alias("temp"), F.array(i % 2, F.lit(1.0)).alias("lh"))
+    return vision.answer_days(a).where("day < 4").select("id", "series", "day", F.round("value", 6).alias("value"), "present")
+
+
+def row_bands(spark, sf_dir):
+    p = charts.pixels(spark, sf_dir).where("a >= 32").select("image_id", "x", "y", "r", "g", "b")
+    return px.row_bands(p, _region(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         segment_ink, mask_runs, mask_dilated, mask_closed, component_boxes, ink_span, line_samples, date_centres, row_names, plot_region, grid_choice, lh_colour, line_choice, visible_days,
-        regular_columns, table_best_rows, soft_argmax, vision_losses, vision_scores, series_usable, normalise_series,
+        regular_columns, table_best_rows, soft_argmax, vision_losses, vision_scores, series_usable, normalise_series, request_states, answer_days, row_bands,
     )
 }
 
@@ -160,6 +179,18 @@ _GROWN = "select distinct image_id, x + dx.dx as x, y + dy.dy as y from mk cross
 _CMP = f"""{cycles.CHARTS}, cm as (select value, ((id + day) % 3 > 0)::int as present, ((id + day) % 9 + 1) / 10 as p, value + ((id + day) % 7)::double / 50 as tv, present as tp from ch)"""
 
 ORACLE_SQL = {
+    "request_states": f"""with {_IDS}, s as (select cycle_id, case when cycle_id % 13 = 0 then 'cloud_unavailable' when cycle_id % 7 = 1 then 'bad_request' when cycle_id % 7 in (2, 3) then 'missing_image' when cycle_id % 11 = 0 then 'upstream_unreachable'
+          when cycle_id % 11 = 1 then 'upstream_error' when cycle_id % 5 = 0 then 'unparseable_model_output' end as error from ids)
+        select cycle_id, (case error when 'cloud_unavailable' then 503 when 'bad_request' then 400 when 'missing_image' then 400 else case when error is null then 200 else 502 end end)::int as code, error, case cycle_id % 7 when 1 then null when 2 then 'en' when 3 then null else 'fr' end as lang from s""",
+    "answer_days": f"""with {_IDS}, d as (select cycle_id as id, day::int as day, cycle_id % 2 = 0 as f from ids cross join range(0, 4) t(day)),
+        v as (select id, 'temp' as series, day, case day when 0 then 36.5::double + id % 3 when 2 then 97::double + id % 4 end as v, case when f then 95::double else 35.6::double end as lo, case when f then 99.5::double else 37.4::double end as hi from d
+          union all select id, 'lh', day, case day when 0 then (id % 2)::double when 1 then 1::double end, 0.1::double, 1.9::double from d)
+        select id, series, day, round(case when v is null then 0 else greatest(0, least(1, (v - lo) / (hi - lo))) end, 6) as value, (v is not null)::int as present from v""",
+    "row_bands": f"""with {charts._RASTER}, rg as (select distinct cycle_id as image_id from r), c as (select image_id, y, count(*) as n from px where a >= 32 and r = 214 and x between 40 and 339 and y between 0 and 400 group by 1, 2),
+        ro as (select image_id, t.y::int as y, coalesce(n, 0) as n from rg cross join range(0, 401) t(y) left join c using (image_id, y)), s as (select *, avg(n) over (partition by image_id order by y rows between 1 preceding and 1 following) as s from ro),
+        a as (select * from (select *, max(s) over (partition by image_id) as m from s) where s >= 3 and s >= 0.08 * m), b as (select image_id, min(y) as y0, max(y) as y1 from (select *, y - row_number() over (partition by image_id order by y) as k from a) group by image_id, k having max(y) - min(y) >= 4),
+        g as (select *, sum(nw) over (partition by image_id order by y0) as g from (select *, coalesce(y0 - lag(y1) over (partition by image_id order by y0) > 5, true)::int as nw from b))
+        select image_id, min(y0) as y0, max(y1) as y1 from g group by image_id, g""",
     "segment_ink": f"with {_IDS} select image_id, (['blue', 'orange', 'purple'])[image_id % 5 + 1] as color from i where image_id % 5 < 3",
     "mask_runs": f"with {_MASK}, s as (select *, x - row_number() over (partition by image_id, y order by x) as k from mk) select image_id, y, min(x) as x0, max(x) as x1 from s group by image_id, y, k",
     "mask_dilated": f"with {_MASK}, g as ({_GROWN.format(2, 1)}) select image_id, count(*) as n, sum(x * 7 + y)::bigint as s from g group by 1",
