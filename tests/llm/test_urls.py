@@ -37,3 +37,23 @@ def test_mined_rules_block_what_labels_show(spark):
         assert r._url.verdict == ("block" if "casino" in r.url else "allow"), r
     none = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(none, labels).count() == 0
+
+
+def test_long_urls_are_mined_whole(spark):
+    """Tokens beyond the sixteenth decide: `bad` blocks, and `x1`, of blocked and of allowed long urls, doesn't."""
+    words = "/".join(f"w{i}" for i in range(20))
+    of = lambda i: "/bad" if i % 10 == 0 else "/x1" if i % 10 == 1 else ""
+    pages = spark.createDataFrame([(i, f"http://s.org/{words}{of(i)}/{i}") for i in range(1000)] + [(2000, "http://t.org/bad"), (2001, "http://t.org/x1"), (2002, f"http://t.org/{words}")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0 and (i % 10 != 1 or i % 20 == 1)), 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    out = {r.page_id: r._url.verdict for r in urls.judge(pages, labels, mining=urls.Mining(support=0.01)).collect()}
+    assert all(v == ("block" if i == 2000 or (i < 1000 and i % 10 == 0) else "allow") for i, v in out.items())
+
+
+def test_tokens_of_the_same_urls_stand_for_each_other(spark):
+    """A rule on tokens that only occur together holds for a url with any of them, with more of its items too."""
+    labelled = [(i, f"http://s.org/{'a/b/' if i % 2 else ''}{'c/d/' if i % 4 < 2 else ''}{i}") for i in range(400)]
+    more = [(1000, "http://s.org/a/d"), (1001, "http://s.org/b/c"), (1002, "http://s.org/a/b"), (1003, "http://s.org/c/d")]
+    pages = spark.createDataFrame(labelled + more, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 1), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    out = {r.page_id: r._url.verdict for r in urls.judge(pages, labels, mining=urls.Mining(support=0.01)).collect()}
+    assert all(v == ("block" if i in (1000, 1001) or (i < 400 and i % 4 == 1) else "allow") for i, v in out.items())

@@ -8,6 +8,10 @@ combinations that imply `block` with enough support and confidence are kept, wit
 shorter kept rule already covers. An inverted index files each rule under its rarest token; a url looks up
 only the rules filed under tokens it has, and a rule matches when the url has all its tokens.
 
+FP-growth gets all frequent tokens of each url. Tokens that occur in the very same labelled urls (the words of
+one template) are one item to it: each has the other's counts, so a rule holds with any of them, and a url
+matches a rule when it has one token of each of its items.
+
 Tokens leave numbers out, so many urls share one token set; sets are judged once and joined back.
 Single tokens rarer than the support are dropped before mining, and a url's tokens are a set, so a hot
 host only raises counts. The rule table's length is checked before it is broadcast.
@@ -30,7 +34,7 @@ from .common import ascii_lower, cut, read
 #: The contract's rules, in its order.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 BLOCK = "=block"
-#: More mined rules than this are joined by shuffle instead of broadcast.
+#: Filed rules with more tokens than this, in all, are joined by shuffle instead of broadcast.
 BROADCAST_RULES = 20_000
 
 
@@ -40,8 +44,6 @@ class Mining:
     confidence: float = 0.9
     #: Urls that must bear a rule out, however small the table.
     least: int = 10
-    #: Tokens of one transaction; longer urls keep their most frequent tokens, for mining only.
-    items: int = 16
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -78,9 +80,10 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
-    """Rules (antecedent array<string>, confidence, support) for blocking, from rows (_t tokens, _blocked, _n)."""
+    """Rules (antecedent array<string>, same array<array<string>>, confidence, support) for blocking, from rows (_t tokens,
+    _blocked, _n). `same` holds the tokens that each token of the antecedent stands for, itself among them."""
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    empty = spark.createDataFrame([], "antecedent array<string>, same array<array<string>>, confidence double, support double")
     n, blocked = labelled.agg(F.sum("_n"), F.sum(F.when(F.col("_blocked"), F.col("_n")))).first()
     if not blocked:
         return empty
@@ -91,7 +94,10 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     rows = labelled.withColumn("_row", F.monotonically_increasing_id())
     rows = cut(rows)
     pairs = rows.select("_row", F.explode("_t").alias("_k")).join(frequent, "_k")
-    sets = pairs.groupBy("_row").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("_c", "_k")), asc=False), 1, mining.items), lambda x: x["_k"]).alias("_i"))
+    # Tokens of the same rows are one item, told by the number of their rows and two hashes over them.
+    seen = pairs.groupBy("_k").agg(F.count(F.lit(1)).alias("_rows"), F.bit_xor(F.xxhash64("_row")).alias("_x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("_y"))
+    items = cut(seen.groupBy("_rows", "_x", "_y").agg(F.sort_array(F.collect_list("_k")).alias("_same")).select(F.col("_same")[0].alias("_item"), "_same"))
+    sets = pairs.join(items.select("_item", F.explode("_same").alias("_k")), "_k").groupBy("_row").agg(F.collect_set("_item").alias("_i"))
     lists = rows.join(sets, "_row", "left").select(F.concat(F.coalesce("_i", F.array().cast("array<string>")), F.when(F.col("_blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"), "_n")
     # Equal transactions were counted together; FP-growth wants each.
     each = lists.select("items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("items")
@@ -102,17 +108,21 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     # A rule is redundant if dropping one token leaves a kept rule; chains end at the shortest.
     less = found.select(F.col("antecedent").alias("whole"), F.explode("antecedent").alias("x")).select("whole", F.array_except("whole", F.array("x")).alias("antecedent"))
     covered = less.join(short.select(F.col("a.antecedent").alias("antecedent")), "antecedent").select(F.col("whole").alias("antecedent")).distinct()
-    return long_.join(covered, "antecedent", "left_anti").select("antecedent", "confidence", "support")
+    kept = long_.join(covered, "antecedent", "left_anti").select("antecedent", "confidence", "support")
+    named = kept.select("antecedent", F.explode("antecedent").alias("_item")).join(items, "_item").groupBy("antecedent").agg(F.collect_list("_same").alias("same"))
+    return kept.join(named, "antecedent").select("antecedent", "same", "confidence", "support")
 
 
 def matches(sets: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
-    """The token sets (_t) among `sets` that have all tokens of a rule, by the index of rarest tokens."""
-    filed = rules.withColumn("_r", F.monotonically_increasing_id()).select("_r", "antecedent", F.explode("antecedent").alias("_k")).join(counts, "_k", "left")
-    filed = filed.groupBy("_r", "antecedent").agg(F.min(F.struct("_c", "_k"))["_k"].alias("_k")).select("_k", "antecedent")
-    if rules.count() <= BROADCAST_RULES:
+    """The token sets (_t) among `sets` that have a token of each item of a rule, by the index of rarest items."""
+    items = rules.withColumn("_r", F.monotonically_increasing_id()).select("_r", "same", F.posexplode("same").alias("_g", "_of"))
+    counted = items.select("_r", "same", "_g", F.explode("_of").alias("_k")).join(counts, "_k", "left").groupBy("_r", "same", "_g").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_c"))
+    filed = counted.groupBy("_r", "same").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
+    filed = cut(filed.select(F.explode(F.get("same", "_g")).alias("_k"), "same"))
+    if (filed.agg(F.sum(F.size(F.flatten("same")))).first()[0] or 0) <= BROADCAST_RULES:
         filed = F.broadcast(filed)
     hits = sets.select("_t", F.explode("_t").alias("_k")).join(filed, "_k")
-    return hits.where(F.size(F.array_intersect("_t", "antecedent")) == F.size("antecedent")).select("_t").distinct()
+    return hits.where(F.forall("same", lambda of: F.arrays_overlap(of, "_t"))).select("_t").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", id_col: str = "page_id", label_id: str = "doc_id", rules=RULES, mining: Mining = Mining()) -> DataFrame:
