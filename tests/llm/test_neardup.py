@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import neardup, textbytes
@@ -87,3 +89,25 @@ def test_chain_of_links(spark):
 
 def test_empty_table(spark):
     assert neardup.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_low_estimates_reach_the_exact_check():
+    """Sets of similarity 0.9 whose sketches differ in 85 registers of 256, five standard errors below the threshold."""
+    rng = np.random.default_rng(9)
+    b = np.unique(np.concatenate([(i << np.uint64(56)) | rng.integers(1 << 40, 1 << 56, 4).astype(np.uint64) for i in np.arange(256, dtype=np.uint64)]))
+    a = np.unique(np.concatenate([b, (np.arange(85, dtype=np.uint64) << np.uint64(56)) | np.uint64(7)]))
+    sketches = [neardup.sketch(x) for x in (a, b)]
+    j, n = neardup.estimate(*sketches)
+    assert len(b) > 0.9 * len(a) and -6 < (j - 0.8) / np.sqrt(0.8 * 0.2 / n) < -5
+    table = pa.table({"node": [1, 2], "doc": [1, 2], "sketch": [x.tobytes() for x in sketches], "set": [x.tobytes() for x in (a, b)]})
+    assert neardup._within(80)(table).column("least").to_pylist() == [1, 1]
+    pairs = pa.table({"a": [1], "b": [2]})
+    assert neardup._verify(80)(pairs, table).num_rows == 1
+
+
+def test_estimates_drop_fewer_pairs_than_bands():
+    def lower(n):
+        least = n * 0.8 - neardup.MARGIN * (n * 0.8 * 0.2) ** 0.5
+        return sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k < least - 1e-9)
+
+    assert max(map(lower, range(1, neardup.REGISTERS + 1))) < (1 - 0.8**neardup.ROWS) ** neardup.BANDS / 10

@@ -15,10 +15,10 @@ its components. Larger ones take two steps:
    others meet another leader in the next round.
 2. Rest: where buckets still hold several components, each cluster's classes outside its largest component are a
    query set that is compared with all its classes, block by block in tasks of bounded size,
-   and only links come out. No candidate is left out.
+   and only links come out. No candidate is left out but by its estimate.
 Nothing but counts reaches the driver.
 
-A pair at the threshold 0.8 is missed by all 42 bands with a probability of about 3 in a million.
+A pair at the threshold 0.8 is missed by all 42 bands, or dropped by its estimate, with a probability of about 3 in a million.
 
 Defined results: null and empty texts have an empty set and no links; a text of fewer than k words has one
 shingle, the whole; a null id has no links, a null component and is kept; rows of one id and set share
@@ -46,8 +46,9 @@ EMPTY = 0xFFFF
 ROWS = 6
 BANDS = REGISTERS // ROWS
 ROUNDS = 3
-#: Estimates this many standard errors below the threshold still go to the exact check.
-MARGIN = 4.0
+#: Estimates this many standard errors below the threshold still go to the exact check. By the binomial law, for any number of
+#: registers, at most 3 in ten million pairs at the threshold lie lower: a tenth of what all bands miss.
+MARGIN = 6.0
 #: The largest cluster that one task compares whole.
 WHOLE = 4000
 #: Documents on each side of one block of comparisons, and pairs in one block of star comparisons.
