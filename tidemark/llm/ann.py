@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, ship
 
 K = 5
 SAMPLE = 20_000
@@ -147,6 +147,7 @@ def _search(k: int, turn: np.ndarray):
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", k: int = K, list_size: int = LIST, probe: float = PROBE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest of every row where is_query holds, the row's own id left out."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks")).where(F.col("id").isNotNull() & valid(F.col("vector")))
     rows = rows.withColumn("size", F.size("vector"))
     sizes = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).first()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF_CHARS = 1 << 13
@@ -124,6 +124,7 @@ def codec(ranks_file: str = RANKS, leaf: int = LEAF_CHARS) -> Codec:
 
 def _map(df: DataFrame, column: str, to: str, fn) -> DataFrame:
     """df with the binary column `to`, fn of each value of `column`, in pieces of bounded size."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c != to]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(to, T.BinaryType())])
 

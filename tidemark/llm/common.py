@@ -22,7 +22,7 @@ ARROW_BYTES = 4 << 20
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once an application; they may not have it installed. Batches for
-    Python are kept to a few MB: rows hold whole texts."""
+    Python are kept to a few MB: rows hold whole texts. Every operator that starts Python workers calls this itself."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
@@ -37,7 +37,6 @@ def ship(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -65,10 +64,12 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; where none is set (tests), a local one is made."""
+    """The checkpoint folder all executors share. Where none is set, a local one is made if all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if where is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)

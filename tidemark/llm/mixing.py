@@ -7,8 +7,9 @@ sort groups, and no task ever holds a source. Sums per range are added up along
 range. The cut falls at the source's exact budget; whole epochs come before it.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source, the last;
-a null id has a key like any other; equal ids share a key and are taken in the order of their sizes;
-an empty table gives an empty table. Other columns ride along unchanged.
+a null id's key comes from its size, so such rows spread over the ranges; equal ids share a key and are taken in the
+order of their sizes; an empty table gives an empty table. Other columns ride along unchanged, whatever their names; only
+an older column `_mix` is replaced. Sources themselves are sorted in one task: a table of one row a source.
 """
 
 from __future__ import annotations
@@ -49,22 +50,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """df (with a size column) plus a struct `_mix`: source_size, target, taken."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = df.withColumn("_s", _source_key(source)).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
-    ranges = rows.groupBy("_s", "_range").agg(F.sum(size).alias("_range_size"))
+    """df (with a size column) plus a struct `_mix`: source_size, target, taken. The row itself rides along as one struct, so
+    no column of it can clash with the working names."""
+    kept = [c for c in df.columns if c != "_mix"]
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.col(size).cast("string")), F.lit(""))))
+    rows = df.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_id"), F.col(size).alias("_size"), _source_key(source).alias("_s"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, 3))
+    ranges = rows.groupBy("_s", "_range").agg(F.sum("_size").alias("_range_size"))
     budget = targets(ranges.groupBy("_s").agg(F.sum("_range_size").alias("_source_size")), weights, share, most)
     along = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_range_size").over(along), F.lit(0))).drop("_range_size")
     offsets = offsets.join(budget, "_s")
-    inside = Window.partitionBy("_s", "_range").orderBy("_key", id_col, size).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, ["_s", "_range"])
+    inside = Window.partitionBy("_s", "_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(offsets, ["_s", "_range"])
     whole = F.floor(F.col("_target"))
     n = F.greatest(F.col("_source_size"), F.lit(1))
-    rest = F.greatest(F.lit(0), F.least(F.col(size), whole % n - F.col("_offset") - F.col("_before")))
-    taken = (F.col(size) * F.floor(whole / n) + rest).cast("long")
+    rest = F.greatest(F.lit(0), F.least(F.col("_size"), whole % n - F.col("_offset") - F.col("_before")))
+    taken = (F.col("_size") * F.floor(whole / n) + rest).cast("long")
     mixed = F.struct(F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
-    return out.withColumn("_mix", mixed).select(*df.columns, "_mix")
+    return out.select("_row.*", mixed.alias("_mix"))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

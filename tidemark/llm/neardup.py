@@ -9,7 +9,7 @@ threshold is confirmed on full sets.
 
 Equal sets are one class from the start, whatever their number, and stay out of all that follows but for
 one representative. No candidate pairs are listed: buckets (classes that share a band) that have members in
-common form clusters, found by joins, and a cluster of up to WHOLE classes is compared inside one task, which gives
+common form clusters, found by contraction, and a cluster of up to WHOLE classes and WHOLE_BYTES is compared inside one task, which gives
 its components. Larger ones take two steps:
 1. Star rounds: a bucket's members are compared with one leader of it; who is linked is done there, the
    others meet another leader in the next round.
@@ -22,7 +22,7 @@ A pair at the threshold 0.8 is missed by all 42 bands, or dropped by its estimat
 
 Defined results: null and empty texts have an empty set and no links; a text of fewer than k words has one
 shingle, the whole; a null id has no links, a null component and is kept; rows of one id and set share
-a result; other columns ride along.
+a result. `groups` returns its four columns only, so other columns' names can't clash; `first_of_each` returns docs' own columns.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import cut, read
+from .common import cut, read, ship
 from .graph import components
 
 REGISTER_BITS = 8
@@ -49,11 +49,13 @@ ROUNDS = 3
 #: Estimates this many standard errors below the threshold still go to the exact check. By the binomial law, for any number of
 #: registers, at most 3 in ten million pairs at the threshold lie lower: a tenth of what all bands miss.
 MARGIN = 6.0
-#: The largest cluster that one task compares whole.
+#: The largest cluster that one task compares whole, by classes and by bytes of their sets.
 WHOLE = 4000
-#: Documents on each side of one block of comparisons, and pairs in one block of star comparisons.
+WHOLE_BYTES = 64 << 20
+#: Documents on each side of one block of comparisons, and pairs in one block of star comparisons; both hold about BYTES of sets.
 BLOCK = 1000
 PAIRS = 4000
+BYTES = 32 << 20
 #: Chance that unequal minima share a register, by the width of a register's cell relative to its value.
 CHANCE = 0.1699 / (1 << MANTISSA)
 _U = np.uint64
@@ -207,7 +209,10 @@ def _verify(percent: int):
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked. Pairs are dealt into blocks by a, each block gets the sets it names once."""
     pairs = cut(pairs.distinct())
-    blocks = max(1, pairs.count() // PAIRS)
+    size = sets.select("node", F.octet_length("set").cast("long").alias("w"))
+    both = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    held = both.join(size, "node").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    blocks = max(1, pairs.count() // PAIRS, held // BYTES)
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
     named = dealt.select("block", F.col("a").alias("node")).unionAll(dealt.select("block", F.col("b").alias("node"))).distinct()
     docs = named.join(sets, "node").select(F.col("block").alias("of"), "node", "sketch", "set")
@@ -284,10 +289,13 @@ def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
         return None
     clusters = components(shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).unionAll(shared.select("node", F.col("comp"))))
     docs = shared.select("node", "comp").distinct().join(clusters.select("node", F.col("comp").alias("cluster")), "node")
-    sizes = docs.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
-    docs = cut(docs.join(main, "cluster"))
-    high = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    # A block's share of documents and of bytes: whichever asks for more blocks.
+    docs = docs.join(sets.select("node", (1 / F.lit(BLOCK) + F.octet_length("set") / BYTES).alias("load")), "node")
+    sizes = docs.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("load"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp", "load")).alias("main"), F.sum("load").alias("all"))
+    main = main.select("cluster", "main.comp", "all", (F.col("all") - F.col("main.load")).alias("rest")).withColumnRenamed("comp", "main")
+    docs = cut(docs.drop("load").join(main, "cluster"))
+    high = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n)).cast("int"))
     own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), high(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), high(n) - 1))
     every = docs.withColumn("i", own("all", 1)).withColumn("j", all_("rest")).withColumn("side", F.lit(0))
@@ -315,26 +323,31 @@ def _large(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> Da
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80, rounds: int = ROUNDS, whole: int = WHOLE) -> DataFrame:
-    """One row for each row of docs: its id, n_shingles, component_id and kept."""
+    """One row for each row of docs, with these four columns: its id, n_shingles, component_id and kept."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     sketches = cut(texts.mapInArrow(_sketches(words), "doc long, n long, node long, keys array<long>"))
     real = sketches.where("n > 0 and doc is not null")
-    classes = real.groupBy("node").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
-    bands = classes.select("node", "doc", F.explode("keys").alias("key"))
+    classes = real.groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    bands = classes.select("node", "doc", "n", F.explode("keys").alias("key"))
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1").select("key", "lead")
     members = cut(bands.join(full, "key"))
 
-    clusters = components(members.select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    clusters = cut(clusters.join(sizes, "comp").select("node", F.col("comp").alias("cluster"), "size"))
-    wanted = members.select("node", "doc").distinct().join(clusters, "node")
-    sets = texts.where("doc is not null").join(wanted, "doc").select("text", "node").mapInArrow(_sets(words), "node long, sketch binary, set binary").dropDuplicates(["node"])
-    large = clusters.where(F.col("size") > whole)
+    # A class follows the least of its buckets' leads, of which it has at most one a band; only leads need linking.
+    nodes = cut(members.groupBy("node").agg(F.first("doc").alias("doc"), F.first("n").alias("n"), F.array_sort(F.collect_set("lead")).alias("leads")))
+    hubs = components(nodes.select(F.explode("leads").alias("a"), F.col("leads")[0].alias("b")).where("a <> b").distinct())
+    hubs = hubs.select(F.col("node").alias("lead"), "comp")
+    clusters = nodes.withColumn("lead", F.col("leads")[0]).join(hubs, "lead", "left").select("node", "doc", "n", F.coalesce("comp", "lead").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n")).alias("bytes"))
+    large = (F.col("size") > whole) | (F.col("bytes") > WHOLE_BYTES)
+    wanted = cut(clusters.join(sizes.select("cluster", large.alias("large")), "cluster").select("node", "doc", "cluster", "large"))
+    sets = texts.where("doc is not null").join(wanted.select("node", "doc"), "doc").select("text", "node").mapInArrow(_sets(words), "node long, sketch binary, set binary").dropDuplicates(["node"])
+    large = wanted.where("large")
     if large.isEmpty():
         least = sets.join(wanted, "node").groupBy("cluster").applyInArrow(_within(percent), "node long, least long")
     else:
         sets = cut(sets)
-        least = sets.join(wanted.where(F.col("size") <= whole), "node").groupBy("cluster").applyInArrow(_within(percent), "node long, least long")
+        least = sets.join(wanted.where("not large"), "node").groupBy("cluster").applyInArrow(_within(percent), "node long, least long")
         least = least.unionAll(_large(cut(members.join(large.select("node"), "node")), sets, percent, rounds))
     # A class without links is its own component, under its smallest id.
     named = real.groupBy("node").agg(F.min("doc").alias("doc")).join(least, "node", "left").select(F.col("node").alias("of"), F.coalesce("least", "doc").alias("least"))

@@ -62,7 +62,7 @@ from k"""
 
 _OP8 = rf"""
 with {_DOCS},
-r as (select doc_id, source, len(ws)::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, '')) as k from docs),
+r as (select doc_id, source, len(ws)::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, 'null:' || len(ws))) as k from docs),
 s as (select source, sum(size)::bigint as n, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as w from r group by source),
 c as (select *, 2 * n as cap, sum(n) over () as total, coalesce(sum(2 * n) over (order by (2 * n)::double / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as filled,
         sum(w) over (order by (2 * n)::double / w, source nulls last rows between current row and unbounded following) as rest from s),

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .blocks import block_id, meet
-from .common import read
+from .blocks import blocked, meet
+from .common import read, ship
 
 WINDOW = 50
 PERIOD = 31
@@ -201,8 +201,10 @@ def _owners(asked: DataFrame, what: int) -> DataFrame:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", to: tuple[str, str, str] = ("n_words", "n_removed", "text")) -> DataFrame:
     """docs with the number of words, the number removed, and the kept words joined by spaces (in the
     text's own column unless `to` names another)."""
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in to]
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), block_id().alias("block"), *[F.col(c).alias("_" + c) for c in kept if c != id_col or docs.schema[c].dataType != T.LongType()])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), *[F.col(c).alias("_" + c) for c in kept if c != id_col or docs.schema[c].dataType != T.LongType()])
+    texts = blocked(texts)
     plain = [c for c in kept if "_" + c not in texts.columns]
     each = texts.select("doc", "text", "block").mapInArrow(_ask_whole, _KEYS)
     whole = _owners(each.groupBy("block", "a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")), WHOLE)

@@ -5,7 +5,8 @@ path starts with the rule's, and the longest fitting rule decides. The other url
 rules: urls with a verdict (an explicit rule's, else the `labels` row of the same id: quality 0 or toxic
 blocks) become transactions of url tokens plus the verdict, Spark's FP-growth mines them, and
 combinations that imply `block` with enough support and confidence are kept, without those that a
-shorter kept rule already covers. An inverted index files each rule under its rarest token; a url looks up
+shorter kept rule already covers. A combination that only one explicit rule's urls bear out would carry that rule to hosts
+it wasn't written for, so a mined rule needs evidence from `labels` or from two explicit rules at least. An inverted index files each rule under its rarest token; a url looks up
 only the rules filed under tokens it has, and a rule matches when the url has all its tokens.
 
 FP-growth gets all frequent tokens of each url. Tokens that occur in the very same labelled urls (the words of
@@ -18,7 +19,8 @@ host only raises counts. The rule table's length is checked before it is broadca
 
 Defined results: a null url or one without :// has empty host and path, no rule fits it, and it is allowed
 unless mined rules say otherwise; null ids and repeated rows are judged like others; with no labelled
-row, or none blocked, nothing is mined and the rest is allowed; other columns ride along.
+row, or none blocked, nothing is mined and the rest is allowed; other columns ride along, whatever their names; only an older
+column `_url` is replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +38,12 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 BLOCK = "=block"
 #: Filed rules with more tokens than this, in all, are joined by shuffle instead of broadcast.
 BROADCAST_RULES = 20_000
+#: Blocked token sets beyond this number are joined by shuffle instead of broadcast.
+BROADCAST_SETS = 200_000
+#: Equal transactions that one row stands for, at most, when they are dealt out to FP-growth.
+EQUAL = 1024
+#: The source of a verdict that comes from `labels`.
+LABELS = "=labels"
 
 
 @dataclass(frozen=True)
@@ -81,7 +89,7 @@ def tokens(url: Column) -> Column:
 
 def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     """Rules (antecedent array<string>, same array<array<string>>, confidence, support) for blocking, from rows (_t tokens,
-    _blocked, _n). `same` holds the tokens that each token of the antecedent stands for, itself among them."""
+    _blocked, _source, _n). `same` holds the tokens that each token of the antecedent stands for, itself among them."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "antecedent array<string>, same array<array<string>>, confidence double, support double")
     n, blocked = labelled.agg(F.sum("_n"), F.sum(F.when(F.col("_blocked"), F.col("_n")))).first()
@@ -99,8 +107,9 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     items = cut(seen.groupBy("_rows", "_x", "_y").agg(F.sort_array(F.collect_list("_k")).alias("_same")).select(F.col("_same")[0].alias("_item"), "_same"))
     sets = pairs.join(items.select("_item", F.explode("_same").alias("_k")), "_k").groupBy("_row").agg(F.collect_set("_item").alias("_i"))
     lists = rows.join(sets, "_row", "left").select(F.concat(F.coalesce("_i", F.array().cast("array<string>")), F.when(F.col("_blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"), "_n")
-    # Equal transactions were counted together; FP-growth wants each.
-    each = lists.select("items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("items")
+    # Equal transactions were counted together; FP-growth wants each. A frequent one is dealt over many tasks first.
+    dealt = lists.select("items", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL))).alias("_part")).repartition("items", "_part")
+    each = dealt.select("items", F.explode(F.sequence(F.lit(1), F.least(F.lit(EQUAL), F.col("_n") - F.col("_part") * EQUAL).cast("int")))).select("items")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=mining.confidence).fit(each)
     found = model.associationRules.where((F.col("consequent")[0] == BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     found = cut(found.where(F.size("antecedent") > 0))
@@ -110,38 +119,51 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     covered = less.join(short.select(F.col("a.antecedent").alias("antecedent")), "antecedent").select(F.col("whole").alias("antecedent")).distinct()
     kept = long_.join(covered, "antecedent", "left_anti").select("antecedent", "confidence", "support")
     named = kept.select("antecedent", F.explode("antecedent").alias("_item")).join(items, "_item").groupBy("antecedent").agg(F.collect_list("_same").alias("same"))
-    return kept.join(named, "antecedent").select("antecedent", "same", "confidence", "support")
+    named = cut(kept.join(named, "antecedent").select("antecedent", "same", "confidence", "support"))
+    # Whose verdicts bear each rule out.
+    bad = labelled.where("_blocked").select("_t", "_source").distinct()
+    proof = hits(bad.select("_t").distinct(), named, _counts(bad)).join(bad, "_t").groupBy("antecedent").agg(F.count_distinct("_source").alias("_of"), F.max(F.col("_source") == LABELS).alias("_labels"))
+    return named.join(proof.where("_of > 1 or _labels").select("antecedent"), "antecedent", "left_semi")
 
 
-def matches(sets: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
-    """The token sets (_t) among `sets` that have a token of each item of a rule, by the index of rarest items."""
-    items = rules.withColumn("_r", F.monotonically_increasing_id()).select("_r", "same", F.posexplode("same").alias("_g", "_of"))
-    counted = items.select("_r", "same", "_g", F.explode("_of").alias("_k")).join(counts, "_k", "left").groupBy("_r", "same", "_g").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_c"))
-    filed = counted.groupBy("_r", "same").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
-    filed = cut(filed.select(F.explode(F.get("same", "_g")).alias("_k"), "same"))
+def _counts(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("_t").alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def hits(sets: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """(_t, antecedent) where a token set among `sets` has a token of each item of a rule, by the index of rarest items."""
+    items = rules.withColumn("_r", F.monotonically_increasing_id()).select("_r", "antecedent", "same", F.posexplode("same").alias("_g", "_of"))
+    counted = items.select("_r", "antecedent", "same", "_g", F.explode("_of").alias("_k")).join(counts, "_k", "left").groupBy("_r", "antecedent", "same", "_g").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_c"))
+    filed = counted.groupBy("_r", "antecedent", "same").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
+    filed = cut(filed.select(F.explode(F.get("same", "_g")).alias("_k"), "antecedent", "same"))
     if (filed.agg(F.sum(F.size(F.flatten("same")))).first()[0] or 0) <= BROADCAST_RULES:
         filed = F.broadcast(filed)
-    hits = sets.select("_t", F.explode("_t").alias("_k")).join(filed, "_k")
-    return hits.where(F.forall("same", lambda of: F.arrays_overlap(of, "_t"))).select("_t").distinct()
+    found = sets.select("_t", F.explode("_t").alias("_k")).join(filed, "_k")
+    return found.where(F.forall("same", lambda of: F.arrays_overlap(of, "_t"))).select("_t", "antecedent").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", id_col: str = "page_id", label_id: str = "doc_id", rules=RULES, mining: Mining = Mining()) -> DataFrame:
     """pages plus a struct `_url`: host, path, rule, verdict."""
+    kept = [c for c in pages.columns if c != "_url"]
     host, path = parts(F.col(url))
-    rows = pages.withColumn("_host", host).withColumn("_path", path).withColumn("_t", tokens(F.col(url)))
+    rows = pages.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"), tokens(F.col(url)).alias("_t"))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     rows = rows.withColumn("_rule", rule).withColumn("_verdict", verdict)
     marks = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("_bad"))
-    known = rows.select(F.col(id_col).alias("_id"), "_t", "_verdict").join(marks, "_id", "left").where("_verdict is not null or _bad is not null")
-    labelled = known.groupBy("_t", F.coalesce(F.col("_verdict") == "block", F.col("_bad")).alias("_blocked")).agg(F.count(F.lit(1)).alias("_n"))
+    known = rows.select("_id", "_t", "_rule", "_verdict").join(marks, "_id", "left").where("_verdict is not null or _bad is not null")
+    blocked = F.coalesce(F.col("_verdict") == "block", F.col("_bad"))
+    labelled = known.groupBy("_t", blocked.alias("_blocked"), F.coalesce("_rule", F.lit(LABELS)).alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     found = cut(mine(cut(labelled), mining))
     sets = rows.where("_verdict is null").select("_t").distinct()
-    counts = sets.select(F.explode("_t").alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
-    hit = matches(sets, found, counts).withColumn("_hit", F.lit(True))
-    out = rows.join(hit, "_t", "left")
+    # A token set is known by two hashes of it: the arrays themselves aren't shuffled with every url.
+    two = [F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")]
+    hit = cut(hits(sets, found, _counts(sets)).select("_t").distinct().select(*two, F.lit(True).alias("_hit")))
+    if hit.count() <= BROADCAST_SETS:
+        hit = F.broadcast(hit)
+    out = rows.select("_row", "_host", "_path", "_rule", "_verdict", *two).join(hit, ["_a", "_b"], "left")
     final = F.coalesce("_verdict", F.when(F.col("_hit"), F.lit("block")).otherwise(F.lit("allow")))
     struct = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), final.alias("verdict"))
-    return out.withColumn("_url", struct).select(*pages.columns, "_url")
+    return out.select("_row.*", struct.alias("_url"))
 
 
 def op5_url_rules(spark, sf_dir: str) -> DataFrame:
