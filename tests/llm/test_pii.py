@@ -62,17 +62,65 @@ def test_digest_columns(spark, tmp_path):
         assert r.spans.startswith(base) and r.n_secret == r.spans.count("secret:")
 
 
-def test_secrets_are_added_and_words_are_not(spark):
-    pos = [f'x y password={hashlib.md5(str(i).encode()).hexdigest()[:18]} z' for i in range(20)] + [f"x AKIA{hashlib.md5(str(i).encode()).hexdigest()[:16].upper()} y" for i in range(6)]
-    neg = ["plain words only and more words", "release2024notes of abcdefghijkl1 thing", "4111111111111111"] * 5 + [None, ""]
-    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(pos + neg)], "doc_id long, text string, _pii string").drop("_pii")
-    model = pii.train(df)
-    assert all(h > m for h, m in zip(model.hit, model.miss))
-    out = pii.find(df, model).select("doc_id", F.size("_pii.secret").alias("n"), pii.redact(F.col("text"), F.col("_pii")).alias("r")).collect()
-    by = {r.doc_id: r for r in out}
-    assert [(pos[i], by[i].r) for i in range(len(pos)) if by[i].n != 1 or "[secret]" not in by[i].r] == []
-    assert all(by[i].n == 0 for i in range(len(pos), len(pos) + len(neg)))
-    assert by[len(pos) + 2].r == "[card]" and by[len(pos) + len(neg) - 2].r is None
+SCHOOL = ["anno", "berge", "cielo", "dort", "enfin", "fuera", "gerne", "hasta", "immer", "jamais"]
+
+
+def planted(seed, n):
+    """(text, spans that are personal data): true ones of each added kind among lookalikes."""
+    rnd = random.Random(seed)
+    hexa = lambda k: hashlib.md5(str(rnd.random()).encode()).hexdigest()[:k]
+    true = {
+        "secret": [lambda: ("password=", hexa(18)), lambda: ('token: "', hexa(32)), lambda: ("Passwort: ", hexa(24)), lambda: ("contraseña: ", hexa(20).upper()), lambda: ("access key = ", "AKIA" + hexa(16).upper())],
+        "identity": [lambda: ("SSN: ", f"{rnd.randrange(100, 900)}-{rnd.randrange(10, 99)}-{rnd.randrange(1000, 9999)}"), lambda: ("DNI: ", f"{rnd.randrange(10**7, 10**8 - 1)}K"), lambda: ("IBAN: ", f"DE{rnd.randrange(10, 99)} 3704 0044 0532 0130 {rnd.randrange(10, 99)}")],
+        "name": [lambda: ("wrote ", f"Dr. Anna {rnd.choice(SCHOOL).title()}"), lambda: ("an ", f"Frau Petra {rnd.choice(SCHOOL).title()}"), lambda: ("con ", f"Señor José {rnd.choice(SCHOOL).title()}")],
+        "address": [lambda: ("Address: ", f"{rnd.randrange(1, 999)} {rnd.choice(SCHOOL).title()} Hill Road"), lambda: ("wohnhaft: ", f"{rnd.choice(SCHOOL).title()}straße {rnd.randrange(1, 99)}"), lambda: ("domicilio: ", f"Calle de {rnd.choice(SCHOOL).title()} {rnd.randrange(1, 99)}")],
+        "credential": [lambda: (" at ", f"postgres://root:{hexa(9)}@"), lambda: ("see ", f"ftp://me:{hexa(12)}@")],
+    }
+    false = ["release2024notes", "abcdefgh1jklmn", "covid19pandemicnews1", "internationalisation", "Donaudampfschifffahrt", "1234567890", "Mr Darkness", "Kapitel 7", "12 Monkeys", "http://a@", "100 Jahre", "build20240105x"]
+    out = []
+    for _ in range(n):
+        words, spans = rnd.choices(SCHOOL, k=8), []
+        text = " ".join(words)
+        if rnd.random() < 0.3:
+            kind = rnd.choice(list(true))
+            before, what = rnd.choice(true[kind])()
+            text += " " + before
+            spans.append((kind, len(text), len(text) + len(what)))
+            text += what + rnd.choice([",", ".", "\n"]) + " "
+        text += " " + " und ".join(rnd.choices(false, k=3)) + " " + " ".join(rnd.choices(SCHOOL, k=4))
+        out.append((text, spans))
+    return out
+
+
+def test_added_kinds_on_held_out_texts(spark):
+    train, held = planted(1, 1500), planted(2, 600)
+    frame = lambda rows: spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(rows)], "doc_id long, text string, p string")
+    models = pii.train(frame(train))
+    for kind, m in models.items():
+        assert all(0.02 < h < 0.999 and f < h for h, f in zip(m.hit, m.miss)), (kind, m)
+        assert 0.001 < m.prior < 0.5, (kind, m)
+    found = {r.doc_id: {(k, a, b) for k in pii.ADDED for a, b in r[k]} for r in pii.find(frame(held), models).select("doc_id", "_pii.*").collect()}
+    got, want = {(i, *s) for i, s in found.items() for s in s}, {(i, *s) for i, (_, spans) in enumerate(held) for s in spans}
+    for kind in pii.ADDED:
+        g, w = {x for x in got if x[1] == kind}, {x for x in want if x[1] == kind}
+        assert len(g & w) >= 0.95 * len(w), (kind, [held[x[0]][0][x[2] : x[3]] for x in w - g][:9])
+        assert len(g & w) >= 0.95 * len(g), (kind, [held[x[0]][0][x[2] : x[3]] for x in g - w][:9])
+
+
+def test_model_of_a_corpus_refuses_lookalikes(spark):
+    models = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = [(0, "release2024notes abcdefgh1jklmn covid19pandemicnews1 Kapitel 7"), (1, 'x token = "7602ad27cf5550de1c77" y'), (2, None)]
+    df = spark.createDataFrame([(i, t, "older") for i, t in rows], "doc_id long, text string, _pii string")
+    out = {r.doc_id: r for r in pii.find(df, models).select("doc_id", "_pii", pii.redact(F.col("text"), F.col("_pii")).alias("r")).collect()}
+    assert [out[i].r for i in range(3)] == [rows[0][1], 'x token = "[secret]" y', None]
+
+
+def test_a_text_with_many_spans(spark):
+    text = " ".join(f"a{i}@b.cd 1{i} x" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    models = {k: pii.Model(weights=[-1.0] * 9) for k in pii.ADDED}
+    out = pii.find(df, models).select(pii.redact(F.col("text"), F.col("_pii")).alias("r"), "_pii.email").first()
+    assert [tuple(s) for s in out.email] == brute(text)["email"] and out.r == re.sub(RX["email"], "[email]", text)
 
 
 def test_empty_table_and_no_candidates(spark):

@@ -113,18 +113,19 @@ def test_pipeline_equals_plain_python(spark, sf):
     for (name, stage), plain in zip(cp.STAGES[:4], stages[1:]):
         rows = [r.asDict() for r in stage(spark, df, path).collect()]
         assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((d["doc_id"], d["text"]) for d in plain), name
-        assert rows == [] or list(rows[0]) == list(cp.COLUMNS)
-        df = spark.createDataFrame([tuple(r[c] for c in cp.COLUMNS) for r in rows], df.schema)
+        assert rows == [] or list(rows[0]) == df.columns
+        df = spark.createDataFrame([tuple(r[c] for c in df.columns) for r in rows], df.schema)
     assert got == want
 
 
 def test_odd_rows_pass_every_stage(spark):
     text = " ".join(f"word{i} the of and" for i in range(30))
     odd = [(1, text, "en", "a", 3, 9), (1, text, "en", "a", 3, 9), (2, None, None, None, None, 1), (3, "", "en", None, 0, 2), (None, text + " more", None, None, None, 3), (4, text.upper(), "en", None, 5, 4), (5, "x" * 200_000, "en", "b", 1, 1)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _size int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _quality int"
     for rows in (odd, []):
         df = spark.createDataFrame(rows, schema)
         for name, stage in cp.STAGES:
             df = stage(spark, df, "")
             assert df.count() >= bool(rows), name
+            assert [c for c in df.columns if c != "text"][:5] == ["doc_id", "lang", "source", "n_chars", "_quality"], name
     assert near_brute([(1, text)])[0][0] > 0

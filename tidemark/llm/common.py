@@ -76,6 +76,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where or sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing."""
     shared_dir(df.sparkSession)
