@@ -27,7 +27,7 @@ def test_tree_equals_the_library(whole, leaf):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab'lsrve \n\t é漢1.\x1c")), max_size=60), st.integers(1, 9))
+@given(st.text(alphabet=st.sampled_from(list("ab'lsrve \n\t é漢1.\x1c(²٣\u0301Ⅷ\u200d")), max_size=60), st.integers(1, 9))
 def test_any_text_any_leaf(t, leaf):
     c = bpe.codec(bpe.RANKS, leaf)
     full = bpe.codec()

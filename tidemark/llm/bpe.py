@@ -1,12 +1,14 @@
 """Operator 10, byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text's encoding is a monoid element (bytes, token ids). Long texts are halved until a leaf, leaves
+A text's encoding is a monoid element (bytes, token ids). Texts are halved until a leaf, leaves
 are encoded by the rank table, and neighbours are joined: a window around the seam grows, in doubling
-steps on both sides, until it starts and ends where a non-space character meets a plain space. No
-match of the split pattern holds a non-space character before a space, and the pattern never looks
-behind, so such a place parts the text whatever stands around it: the tokens outside the window are
-those of the joined text, and only the window is encoded again. Without such a place the window
-becomes the whole of both halves, so the result is right for any text.
+steps on both sides, until it starts and ends at a place that parts the text whatever stands around it. Such
+places are those where a non-space character meets a plain space (no match of the split pattern holds
+these two), and those between a letter, a number and any other visible character, apostrophes apart (a
+match holds one of these classes, behind an optional space; only contractions mix them). The pattern never looks behind,
+so the tokens outside the window are those of the joined text, and only the window is encoded again. Inside
+one long run of letters, of numbers or of other characters there is no such place: it is one match of the pattern, whose tokens
+depend on all of it, and the window becomes that run.
 
 Decoding looks ids up in leaves of fixed length and concatenates up the same kind of tree.
 
@@ -21,6 +23,7 @@ is replaced.
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from .common import read, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
-LEAF_CHARS = 1 << 13
+LEAF_CHARS = 1 << 10
 LEAF_IDS = 1 << 14
 OUT_BYTES = 8 << 20
 _SPACES = " \n\t\r"
@@ -83,8 +86,21 @@ class Codec:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
+@lru_cache(maxsize=1 << 16)
+def _class(c: str) -> str:
+    """L, N or O (other visible characters); none for spaces, controls, apostrophes, and characters whose category has changed
+    or come since Unicode 3.2, for libraries differ in them."""
+    now = unicodedata.category(c)
+    if c == "'" or now != unicodedata.ucd_3_2_0.category(c) or now[0] in "ZC":
+        return ""
+    return now[0] if now[0] in "LN" else "O"
+
+
 def _is_seam(before: str, at: str) -> bool:
-    return at in _SPACES and before.isprintable() and not before.isspace()
+    if at in _SPACES:
+        return before.isprintable() and not before.isspace()
+    a, b = _class(before), _class(at)
+    return a != b and a != "" and b != ""
 
 
 def _last_seam(s: str) -> int:

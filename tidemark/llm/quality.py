@@ -19,6 +19,8 @@ from .common import NON_SPACE, let, read, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: A word with a letter in it, whole, so that each is one match.
+LETTER_WORD = rf"(?<!{NON_SPACE})[^\x20\x09-\x0D\p{{L}}]*+\p{{L}}{NON_SPACE}*+"
 #: Frequent function words of the languages the corpora hold.
 STOP_WORDS = (
     "the of and to in a is that for it on was with be as by at this are an or from not "
@@ -85,19 +87,24 @@ def _twin(s: Column, i: Column) -> Column:
 def _measures(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NON_SPACE))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    lost = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+
+    def lost(chars: str) -> Column:
+        """How many of some ASCII characters a text holds: the bytes that go with them."""
+        rest = t
+        for c in chars:
+            rest = F.replace(rest, F.lit(c), F.lit(""))
+        return F.octet_length(t) - F.octet_length(rest)
 
     def of(ws: Column) -> Column:
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.length(F.translate(t, "\x20\t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
             lost(SYMBOLS).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             _repeat_words(ws).cast("long").alias("n_repeat_words"),
             lost("!").cast("long").alias("n_marks"),
-            F.size(F.filter(ws, lambda w: F.array_contains(stop, F.lower(w)))).cast("long").alias("n_stop_words"),
-            F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+            F.size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.regexp_count(t, F.lit(LETTER_WORD)).cast("long").alias("n_letter_words"),
         )
 
     return let(words(text), of)
