@@ -266,7 +266,8 @@ _STAT = """st as (select count_if(true_scale in (0, 1) and scale_idx = true_scal
 
 
 def vision_confidence(spark, sf_dir):
-    raw = truth(spark, sf_dir).where("id % 3 <> 0 or day < 4").withColumn("logit", F.when(F.col("present") == 1, 2.0).otherwise(-1.5) - F.when(F.col("id") % 4 == 0, 2.2).otherwise(0.0))
+    sparse = (F.col("id") % 3 == 0) & (F.col("day") % 9 != 0)
+    raw = truth(spark, sf_dir).withColumn("logit", F.when((F.col("present") == 1) & ~sparse, 2.0).otherwise(-1.5) - F.when(F.col("id") % 4 == 0, 2.2).otherwise(0.0))
     return vision.confidence(vision.decode(raw)).select("id", "confidence", "status", F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -330,7 +331,7 @@ def run_history_top30(spark, sf_dir):
 
 
 def run_history_by_owner(spark, sf_dir):
-    return stores.keep_latest(runs(spark, sf_dir), owner="owner", most=3).select("owner", "id", "created_at")
+    return stores.keep_latest(runs(spark, sf_dir), owner="owner").select("owner", "id", "created_at")
 
 
 def run_history_delete(spark, sf_dir):
@@ -339,7 +340,7 @@ def run_history_delete(spark, sf_dir):
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 20 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     text = F.concat_ws(":", "event_type", "user_id")
     return e.select(
         F.concat_ws(":", F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("f"), F.col("event_id").cast("string"))).alias("key"),
@@ -377,7 +378,7 @@ def label_seeding(spark, sf_dir):
 
 _RUNS = "ru as (select event_id as id, floor(epoch_ms(ts) / 3600000)::bigint as created_at, user_id as owner, event_type as title, props as analysis from events)"
 _FILES = """fi as (select 'v' || event_id % 3 || ':f' || event_id as key, 'v' || event_id % 3 as version, 'f' || event_id % 40 as file_name, sha256(event_type || ':' || user_id) as sha256,
-   case when event_id % 100 = 0 then 'other' else event_type || ':' || user_id end as data, length(event_type || ':' || user_id)::bigint as bytes, event_id from events where event_id % 20 = 0)"""
+   case when event_id % 100 = 0 then 'other' else event_type || ':' || user_id end as data, length(event_type || ':' || user_id)::bigint as bytes, event_id from events)"""
 
 QUERIES = {
     k.__name__: k
@@ -424,7 +425,7 @@ ORACLE_SQL = {
         select label, round(coalesce(tp / nullif(p, 0), 0), 6) as precision, round(coalesce(tp / nullif(support, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(p + support, 0), 0), 6) as f1, support from c""",
     "confusion_matrix": f"with {_PAIRS_SQL} select truth, {', '.join(f'''count_if(predicted = '{x}') as {x}''' for x in LABELS)} from pa group by 1",
     "log_loss": f"{_IDS} select round(-avg(ln(greatest(1e-15, least(1, (cycle_id % 50)::double / 50)))), 6) as log_loss from ids",
-    "vision_confidence": f"""with {cycles.CHARTS}, x as (select *, case when present = 1 then 2::double else -1.5::double end - case when id % 4 = 0 then 2.2::double else 0 end as logit from ch where id % 3 <> 0 or day < 4),
+    "vision_confidence": f"""with {cycles.CHARTS}, x as (select *, case when present = 1 and not (id % 3 = 0 and day % 9 <> 0) then 2::double else -1.5::double end - case when id % 4 = 0 then 2.2::double else 0 end as logit from ch),
         y as (select *, 1 / (1 + exp(-logit)) as p from x), g as (select id, count_if(series = 'temp' and p >= 0.5) as t, count_if(series = 'lh' and p >= 0.5) as l, coalesce(avg(p) filter (series = 'temp' and p >= 0.5), 0) as tp, coalesce(avg(p) filter (series = 'lh' and p >= 0.5), 0) as lp from y group by 1),
         h as (select *, greatest(t, l) as best, 0.5::double * least(1, greatest(t, l) / 10) + 0.4::double * greatest(tp, lp) + 0.1::double * (t >= 2)::int as blend from g)
         select id, floor((case when best < 2 then least(blend, 0.15::double) else blend end) * 100 + 0.5::double) / 100 as confidence, case when best < 2 then 'not_a_chart' when blend < 0.45::double then 'low_confidence' else 'extracted' end as status,
@@ -437,7 +438,7 @@ ORACLE_SQL = {
     "model_answers": f"""{_IDS}, a as (select cycle_id, case when cycle_id % 2 = 0 then 'fahrenheit' else 'celsius' end as scale, case when cycle_id % 3 = 0 then ('0.' || cycle_id % 9)::double else 0.7::double end as confidence, (cycle_id % 40)::double as third from ids)
         select *, 0 as n_lh, case when confidence < 0.45 then 'low_confidence' else 'extracted' end as status from a""",
     "run_history_top30": f"with {_RUNS} select id, created_at, owner, title from ru order by created_at desc, id desc limit 30",
-    "run_history_by_owner": f"with {_RUNS} select owner, id, created_at from ru qualify row_number() over (partition by owner order by created_at desc, id desc) <= 3",
+    "run_history_by_owner": f"with {_RUNS} select owner, id, created_at from ru qualify row_number() over (partition by owner order by created_at desc, id desc) <= 30",
     "run_history_delete": f"with {_RUNS} select owner, count(*) as runs from ru where id % 3 <> 0 group by 1",
     "model_cache_state": f"with {_FILES} select key, case when event_id % 60 = 0 then 'miss' when event_id % 80 = 0 then 'stale' else 'hit' end as state from fi",
     "model_cache_write": f"with {_FILES}, v as (select * from fi where sha256(data) = sha256), c as (select file_name, max(version) as version from v group by 1) select key from v join c using (file_name, version)",

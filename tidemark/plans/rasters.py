@@ -119,7 +119,7 @@ def table_best_rows(spark, sf_dir):
 
 
 def soft_argmax(spark, sf_dir):
-    c = charts.truth(spark, sf_dir).where("present = 1 and day % 7 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    c = charts.truth(spark, sf_dir).where("present = 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     heat = c.select("id", "series", "day", (F.col("k") / 4).alias("y"), ((F.col("id") + F.col("k") * 3) % 5).cast("double").alias("logit"))
     return vision.soft_argmax(heat).select("id", "series", "day", F.round("value", 6).alias("value"))
 
@@ -138,7 +138,8 @@ def vision_scores(spark, sf_dir):
 
 
 def series_usable(spark, sf_dir):
-    return vision.usable(charts.truth(spark, sf_dir).where("day < 4"))
+    thin = charts.truth(spark, sf_dir).withColumn("present", F.when((F.col("id") % 4 == 0) & (F.col("day") % 15 != 0), 0).otherwise(F.col("present")))
+    return vision.usable(thin)
 
 
 def normalise_series(spark, sf_dir):
@@ -157,7 +158,7 @@ def request_states(spark, sf_dir):
 def answer_days(spark, sf_dir):
     i = F.col("cycle_id").cast("double")
     a = _ids(spark, sf_dir).select(F.col("cycle_id").alias("id"), F.when(F.col("cycle_id") % 2 == 0, "fahrenheit").otherwise("celsius").alias("scale"), F.array(36.5 + i % 3, F.lit(None), 97.0 + i % 4).alias("temp"), F.array(i % 2, F.lit(1.0)).alias("lh"))
-    return vision.answer_days(a).where("day < 4").select("id", "series", "day", F.round("value", 6).alias("value"), "present")
+    return vision.answer_days(a).select("id", "series", "day", F.round("value", 6).alias("value"), "present")
 
 
 def row_bands(spark, sf_dir):
@@ -182,7 +183,7 @@ ORACLE_SQL = {
     "request_states": f"""with {_IDS}, s as (select cycle_id, case when cycle_id % 13 = 0 then 'cloud_unavailable' when cycle_id % 7 = 1 then 'bad_request' when cycle_id % 7 in (2, 3) then 'missing_image' when cycle_id % 11 = 0 then 'upstream_unreachable'
           when cycle_id % 11 = 1 then 'upstream_error' when cycle_id % 5 = 0 then 'unparseable_model_output' end as error from ids)
         select cycle_id, (case error when 'cloud_unavailable' then 503 when 'bad_request' then 400 when 'missing_image' then 400 else case when error is null then 200 else 502 end end)::int as code, error, case cycle_id % 7 when 1 then null when 2 then 'en' when 3 then null else 'fr' end as lang from s""",
-    "answer_days": f"""with {_IDS}, d as (select cycle_id as id, day::int as day, cycle_id % 2 = 0 as f from ids cross join range(0, 4) t(day)),
+    "answer_days": f"""with {_IDS}, d as (select cycle_id as id, day::int as day, cycle_id % 2 = 0 as f from ids cross join range(0, 35) t(day)),
         v as (select id, 'temp' as series, day, case day when 0 then 36.5::double + id % 3 when 2 then 97::double + id % 4 end as v, case when f then 95::double else 35.6::double end as lo, case when f then 99.5::double else 37.4::double end as hi from d
           union all select id, 'lh', day, case day when 0 then (id % 2)::double when 1 then 1::double end, 0.1::double, 1.9::double from d)
         select id, series, day, round(case when v is null then 0 else greatest(0, least(1, (v - lo) / (hi - lo))) end, 6) as value, (v is not null)::int as present from v""",
@@ -222,12 +223,12 @@ ORACLE_SQL = {
         select image_id, count_if(coalesce(round_even(g / 20, 0) >= 1 and abs(g - round_even(g / 20, 0) * 20) <= 5, false)) >= 0.7 * 11 as regular from g group by 1""",
     "table_best_rows": f"""with {_IDS}, s as (select image_id, k::int as idx, (['CD', 'DPO', 'Sex'])[(image_id + k) % 3 + 1] as row_name, ((image_id * 7 + k * 5) % 13)::int as populated from i cross join range(0, 7) t(k))
         select * from s qualify row_number() over (partition by image_id, row_name order by populated desc, idx) = 1""",
-    "soft_argmax": f"""with {cycles.CHARTS}, e as (select id, series, day, k / 4 as y, exp(((id + k * 3) % 5)::double) as w from ch cross join range(0, 5) t(k) where present = 1 and day % 7 = 0)
+    "soft_argmax": f"""with {cycles.CHARTS}, e as (select id, series, day, k / 4 as y, exp(((id + k * 3) % 5)::double) as w from ch cross join range(0, 5) t(k) where present = 1)
         select id, series, day, round(sum(w * y) / sum(w), 6) as value from e group by 1, 2, 3""",
     "vision_losses": f"""with {_CMP} select round(coalesce(avg(case when tp = 1 then case when abs(value - tv) < 0.05::double then 0.5::double * abs(value - tv) * abs(value - tv) / 0.05::double else abs(value - tv) - 0.025::double end end), 0), 8) as value_loss,
         round(avg(-case when tp = 1 then ln(p) else ln(1 - p) end), 8) as presence_loss from cm""",
     "vision_scores": f"""with {_CMP}, g as (select avg(case when tp = 1 then abs(value - tv) end) as mae, count_if(tp = 1 and present = 1) as a, count_if(tp = 0 and present = 1) as b, count_if(tp = 1 and present = 0) as c from cm)
         select round(mae, 8) as mae, round(a / (a + b), 8) as precision, round(a / (a + c), 8) as recall, round(2 * a / (2 * a + b + c), 8) as f1 from g""",
-    "series_usable": f"with {cycles.CHARTS} select id, series, count_if(present = 1) >= 3 as enabled from ch where day < 4 group by 1, 2",
+    "series_usable": f"with {cycles.CHARTS} select id, series, count_if(present = 1 and (id % 4 <> 0 or day % 15 = 0)) >= 3 as enabled from ch group by 1, 2",
     "normalise_series": f"with {cycles.READINGS} select cycle_id, day, round(greatest(0, least(1, (temp / 100 - 36.2::double) / greatest(1e-6, 36.5::double - 36.2::double))), 6) as value from r where temp is not null",
 }

@@ -5,7 +5,7 @@ and computes only these cycles' features."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import features
@@ -36,14 +36,24 @@ def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
     return last.select("cycle_id", "day", "r.temp", "r.lh", "r.seen_at")
 
 
+#: Parts of the store, by a hash of the cycle; a batch reads those of its cycles only.
+PARTS = 256
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("cycle_id"), F.lit(PARTS)).cast("int")
+
+
 def update(store: str, out: str, unit: float = 1.0):
     """A foreachBatch function: appends readings to the Parquet folder `store` and the touched cycles' features to `out`, one folder
-    a batch, so a batch that runs again overwrites itself."""
+    a batch, so a batch that runs again overwrites itself. The store is partitioned by a hash of the cycle: a batch of few cycles
+    reads few of its folders, however large it has grown."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        stored = spark.read.schema(SCHEMA).parquet(f"{store}/batch=*")
+        batch.withColumn("part", _part()).write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={batch_id}")
+        touched = [r["part"] for r in batch.select(_part().alias("part")).distinct().collect()]  # at most PARTS numbers
+        stored = spark.read.option("basePath", store).schema(f"{SCHEMA}, batch long, part int").parquet(store).where(F.col("part").isin(touched)).drop("batch", "part")
         merged = merge(stored, batch.select(*stored.columns))
         features(merged, unit).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
