@@ -14,7 +14,8 @@ def y_of(t):
 
 
 def chart():
-    """A chart with rings of radius 6 on a thin line for 20 days of temperature and 6 of LH, on a grey background."""
+    """A chart with rings of radius 6 for 20 days of temperature and 6 of LH, on a grey background. No line joins them: a line over
+    the whole plot would be sampled instead."""
     px = {(x, y): (200, 200, 200) for x in range(0, 700, 1) for y in range(60, 400)}
     temps = [36.3 + 0.02 * (d % 3) + (0.4 if d >= 12 else 0) for d in range(20)]
     lh = {d: (0.3, 0.4, 0.6, 1.6, 0.8, 0.4)[d - 8] for d in range(8, 14)}
@@ -26,13 +27,6 @@ def chart():
                 if r <= 7.5:
                     px[cx + dx, cy + dy] = color if r >= 4.5 else (255, 255, 255)
 
-    for d in range(20):
-        for x in range(LEFT + PITCH * d, LEFT + PITCH * (d + (d < 19)) + 1):
-            for dy in (0, 1):
-                px[x, y_of(temps[d]) + dy] = BLUE
-        if d < 19:
-            for y in range(*sorted((y_of(temps[d]), y_of(temps[d + 1]) + 1))):
-                px[LEFT + PITCH * (d + 1), y] = BLUE
     for d, t in enumerate(temps):
         ring(LEFT + PITCH * d, y_of(t), BLUE)
     for d, v in lh.items():
@@ -58,6 +52,30 @@ def test_a_drawn_chart_is_read_back(spark):
     assert sum(abs(got.get(("lh", d), 9) - v) <= 0.15 for d, v in lh.items()) >= 5
 
 
+def test_a_line_without_markers_and_a_neighbour_are_read(spark):
+    """A smooth line of 28 days, thicker at the grid lines of each day; a much wider second image doesn't change the first one's result."""
+    day = lambda x: (x - LEFT) / PITCH
+    temp = lambda d: 36.4 + 0.3 * math.sin(d / 4)
+    px = {(x, y): (200, 200, 200) for x in range(60, 900) for y in range(60, 400)}
+    for k in range(29):
+        for y in range(TOP, BOTTOM):
+            px[LEFT + PITCH * k, y] = (239, 239, 240)
+    for x in range(LEFT, LEFT + PITCH * 28 + 1):
+        thick = 6 if (x - LEFT) % PITCH in (0, 1, PITCH - 1) else 2
+        for dy in range(-thick, thick + 1):
+            px[x, y_of(temp(day(x))) + dy] = BLUE
+    ticks = [(1, "right", 880.0, float(y_of(37.4 - 0.2 * k)), f"{37.4 - 0.2 * k:.1f}") for k in range(10)]
+    other = [(2, x, 10, 239, 239, 240) for x in range(3000)]
+    days, heads = charts.extract(
+        spark.createDataFrame([(1, x, y, *c) for (x, y), c in px.items()] + other, "image_id long, x int, y int, r int, g int, b int"),
+        spark.createDataFrame([(1, 900, 460), (2, 3000, 100)], "image_id long, width int, height int"),
+        spark.createDataFrame(ticks, "image_id long, side string, cx double, cy double, text string"),
+    )
+    got = {r.day: 35.6 + r.value * 1.8 for r in days.where("image_id = 1 and series = 'temp' and present = 1").collect()}
+    assert len(got) >= 27 and all(abs(v - temp(d + 0.5)) <= 0.05 for d, v in got.items())
+    assert {r.image_id: r.status for r in heads.collect()}[2] == "not_a_chart"
+
+
 def test_nothing_to_see(spark):
     blank = spark.createDataFrame([(1, x, y, 200, 200, 200) for x in range(30) for y in range(30)], "image_id long, x int, y int, r int, g int, b int")
     days, heads = charts.extract(blank, spark.createDataFrame([(1, 30, 30)], "image_id long, width int, height int"), spark.createDataFrame([], "image_id long, side string, cx double, cy double, text string"))

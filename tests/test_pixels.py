@@ -95,7 +95,7 @@ def test_line_sampling_skips_the_cover_line(spark):
 
 def test_grid_lines_pitch_and_tiling(spark):
     grid = table(spark, [(1, "grid", x + d, y) for x in range(0, 800, 40) for d in (0, 1) for y in range(200)])
-    lines = sorted(r.x for r in px.vertical_lines(grid, 200).collect())
+    lines = sorted(r.x for r in px.vertical_lines(grid, spark.createDataFrame([(1, 0, 0, 800, 200)], "image_id long, x0 int, y0 int, x1 int, y1 int")).collect())
     assert lines[:3] == [0.5, 40.5, 80.5] and len(lines) == 20
     marks = spark.createDataFrame([(1, float(x), 800) for x in range(100, 261, 40)], "image_id long, cx double, w int")
     pitches = px.modal_pitch(marks, F.col("w"))
@@ -153,10 +153,28 @@ def test_bounds_of_ink_and_white_blobs(spark):
     assert (r.x0, r.y0, r.x1, r.y1) == (10, 10, 200, 60)
     assert [b.blob for b in px.blobs(parts.withColumn("area", F.col("area") / 10)).collect()] == [2]
     grid = table(spark, [(1, "grid", x, y) for y in (10, 60, 110) for x in range(100)])
-    assert [(r.y0, r.y1) for r in px.grid_band(grid, 400).collect()] == [(10, 110)]
+    assert [(r.y0, r.y1) for r in px.grid_band(grid, spark.createDataFrame([(1, 400, 300)], "image_id long, width int, height int")).collect()] == [(10, 110)]
 
 
 def test_visible_days(spark):
     p = spark.createDataFrame([(1, 20), (2, 35)], "image_id long, n int")
     s = spark.createDataFrame([(1, 300.0, 10.0), (2, 420.0, 10.0)], "image_id long, ink_width double, cell_px double")
     assert sorted(tuple(r) for r in px.visible_days(p, s).collect()) == [(1, 31, False), (2, 43, True)]
+
+
+def test_smoothing_keeps_flat_colour_and_single_pixels(spark):
+    flat = spark.createDataFrame([(1, x, y, 40 * (x // 3), 7, 9) for x in range(6) for y in range(4)] + [(2, 5, 5, 1, 2, 3)], "image_id long, x int, y int, r int, g int, b int")
+    got = {(r.image_id, r.x, r.y): (r.r, r.g, r.b) for r in px.blur(flat).collect()}
+    assert got[2, 5, 5] == (1, 2, 3) and len(got) == 25
+    assert [got[1, x, 2] for x in range(6)] == [(0, 7, 9), (0, 7, 9), (10, 7, 9), (30, 7, 9), (40, 7, 9), (40, 7, 9)]
+
+
+def test_calendar_columns_by_two_kinds_of_gaps(spark):
+    digits = [(1, 20.0 + 40 * k + 9 * d, 17 + 40 * k + 9 * d, 23 + 40 * k + 9 * d) for k in range(12) for d in range(1 + (k >= 4))]
+    got = sorted((r.x, r.cell_px) for r in px.calendar_columns(spark.createDataFrame(digits, "image_id long, cx double, x0 int, x1 int")).collect())
+    assert [x for x, _ in got] == [20.0 + 40 * k + 4.5 * (k >= 4) for k in range(12)] and got[0][1] == 40.0
+
+
+def test_level_that_parts_two_classes(spark):
+    g = spark.createDataFrame([(1, v) for v in [20] * 30 + [25] * 10 + [200] * 50 + [210] * 9] + [(2, 5)], "image_id long, g int")
+    assert {r.image_id: r.level for r in px.split_level(g).collect()} == {1: 25}

@@ -21,6 +21,8 @@ CIRCLE = (125, 160, 50, 90)
 BRIGHT, AREA, SIDE, ASPECT = 225, (4, 360), (3, 26), (0.35, 2.6)
 RADII, ANGLES, COVERAGE, FILLED = (3, 4, 5, 6, 7, 8, 9, 11, 14), 32, 0.30, 60
 SAMPLE, COLUMN_INK = 0.30, 4
+#: Height of the strip of dates below a plot, as a share of the plot's.
+DATE_ROW = 0.18
 FALLBACK = (0.10, 0.10, 0.92, 0.72)
 #: Rows of the table below a chart, and the words that name them.
 ROWS = ("calendar", "CD", "DPO", "Sex", "CM", "Symptoms", "hCG")
@@ -49,8 +51,25 @@ def in_band(c: Column, band: tuple[int, int, int, int]) -> Column:
     return c["h"].between(band[0], band[1]) & (c["s"] >= band[2]) & (c["v"] >= band[3])
 
 
-def segment(pixels: DataFrame) -> DataFrame:
-    """(image_id, color, x, y): the ink of each series; the bands of hue don't overlap."""
+def blur(pixels: DataFrame) -> DataFrame:
+    """pixels (image_id, x, y, r, g, b) smoothed by the weights 1 2 1 along each axis. At an edge the neighbour inside counts twice; a
+    pixel without neighbours stays. One pass along rows and one along columns, each over one image's row or column."""
+    out = pixels.select("image_id", "x", "y", *[F.col(c).cast("double").alias(c) for c in "rgb"])
+    for along, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy("image_id", across).orderBy(along)
+        side = lambda c, far, step: F.when(far(along).over(w) == F.col(along) + step, far(c).over(w))
+        mixed = []
+        for c in "rgb":
+            before, after = side(c, F.lag, -1), side(c, F.lead, 1)
+            mixed.append(((F.coalesce(before, after, c) + 2 * F.col(c) + F.coalesce(after, before, c)) / 4).alias(c))
+        out = out.select("image_id", "x", "y", *mixed)
+    return out.select("image_id", "x", "y", *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
+
+
+def segment(pixels: DataFrame, smooth: bool = True) -> DataFrame:
+    """(image_id, color, x, y): the ink of each series; the bands of hue don't overlap. Smoothing brings the edges of thin lines into
+    the bands."""
+    pixels = blur(pixels) if smooth else pixels
     c = hsv(F.col("r"), F.col("g"), F.col("b"))
     color = F.lit(None).cast("string")
     for name, band in BANDS.items():
@@ -154,9 +173,10 @@ def pale(pixels: DataFrame) -> DataFrame:
     return c.where(F.col("_g").between(228, 247) & (F.col("_s") <= 18)).select("image_id", F.lit("grid").alias("color"), "x", "y")
 
 
-def grid_band(grid: DataFrame, width: int) -> DataFrame:
-    """(image_id, y0, y1): the rows that hold long pale runs, at least 40 % of the fullest row."""
-    long_ = open_long(grid, F.lit(max(40, width // 8)))
+def grid_band(grid: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, y0, y1): the rows that hold pale runs of an eighth of their own image's width, at least 40 % of the fullest row."""
+    wide = runs(grid).join(images.select("image_id", "width"), "image_id")
+    long_ = wide.where(F.col("end") - F.col("start") + 1 >= F.greatest(F.lit(40), F.floor(F.col("width") / 8)))
     rows = long_.groupBy("image_id", "y").agg(F.sum(F.col("end") - F.col("start") + 1).alias("n"))
     strong = rows.withColumn("m", F.max("n").over(Window.partitionBy("image_id"))).where("n >= 0.4 * m")
     return strong.groupBy("image_id").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("rows")).where("rows >= 2").drop("rows")
@@ -292,9 +312,11 @@ def line_or_markers(span: Column, markers: Column, cells: Column, sampled: Colum
 # --- day grid ---------------------------------------------------------------------
 
 
-def vertical_lines(grid: DataFrame, height: int) -> DataFrame:
-    """(image_id, x): the middles of neighbouring columns that hold pale runs over a third of the plot's height."""
-    long_ = open_long(grid, F.lit(max(20, height // 3)), along="y")
+def vertical_lines(grid: DataFrame, region: DataFrame) -> DataFrame:
+    """(image_id, x): the middles of neighbouring columns that hold pale runs over a third of their own plot's height."""
+    inside = grid.join(region, "image_id").where(F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("y").between(F.col("y0"), F.col("y1") - 1))
+    high = runs(inside.select("image_id", "color", "x", "y"), "y").join(region, "image_id")
+    long_ = high.where(F.col("end") - F.col("start") + 1 >= F.greatest(F.lit(20), F.floor((F.col("y1") - F.col("y0")) / 3)))
     cols = long_.groupBy("image_id", "x").agg(F.sum(F.col("end") - F.col("start") + 1).alias("n"))
     strong = cols.withColumn("m", F.max("n").over(Window.partitionBy("image_id"))).where("n >= 0.4 * m and m >= 5")
     w = Window.partitionBy("image_id").orderBy("x")
@@ -320,6 +342,43 @@ def date_centres(digits: DataFrame) -> DataFrame:
     return marked.groupBy("image_id", "session").agg(F.avg("x").alias("x")).select("image_id", "x")
 
 
+def split_level(grays: DataFrame) -> DataFrame:
+    """(image_id, level): the grey level that parts an image's pixels (image_id, g) into two classes farthest apart (largest variance
+    between them); the lower class holds the level. 256 rows an image at most."""
+    counts = grays.groupBy("image_id", "g").agg(F.count(F.lit(1)).alias("n"))
+    whole, up = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("g")
+    c = counts.withColumn("n0", F.sum("n").over(up)).withColumn("s0", F.sum(F.col("n") * F.col("g")).over(up))
+    c = c.withColumn("n1", F.sum("n").over(whole) - F.col("n0")).withColumn("s1", F.sum(F.col("n") * F.col("g")).over(whole) - F.col("s0")).where("n1 > 0")
+    between = F.col("n0").cast("double") * F.col("n1") * F.pow(F.col("s0") / F.col("n0") - F.col("s1") / F.col("n1"), 2)
+    return c.groupBy("image_id").agg(F.max(F.struct(between.alias("v"), (-F.col("g")).alias("g")))["g"].alias("g")).select("image_id", (-F.col("g")).alias("level"))
+
+
+def date_digits(pixels: DataFrame, region: DataFrame) -> DataFrame:
+    """(image_id, x): middles of dark components of a digit's size in the strip below the plot."""
+    low = F.col("y1") + F.greatest(F.lit(40), F.floor((F.col("y1") - F.col("y0")) * DATE_ROW))
+    strip = pixels.join(region, "image_id").where((F.col("y") >= F.col("y1") + 4) & (F.col("y") < low) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    grays = strip.select("image_id", F.lit("date").alias("color"), "x", "y", gray(F.col("r"), F.col("g"), F.col("b")).alias("g"))
+    dark = grays.join(split_level(grays), "image_id").where("g <= level")
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    return components(dark).where(F.col("area").between(12, 600) & w.between(3, 40) & h.between(6, 36)).select("image_id", F.col("cx").alias("x"))
+
+
+def calendar_columns(boxes: DataFrame) -> DataFrame:
+    """(image_id, x, cell_px): the days of a table's calendar row, by its digits' boxes (image_id, cx, x0, x1), x1 being past the
+    last pixel. Gaps between digits are of two kinds, within a number and between numbers: the border lies halfway between the
+    mean of those up to the median gap and the mean of the others, at eight pixels at least. The pitch is the median distance."""
+    w = Window.partitionBy("image_id").orderBy("cx")
+    gaps = boxes.withColumn("_g", F.col("x0") - F.lag("x1").over(w))
+    middle = gaps.groupBy("image_id").agg(F.get(F.array_sort(F.collect_list("_g")), F.floor(F.count("_g") / 2).cast("int")).alias("m"))
+    j = gaps.join(middle, "image_id")
+    means = j.groupBy("image_id", "m").agg(F.avg(F.when(F.col("_g") <= F.col("m"), F.col("_g"))).alias("small"), F.avg(F.when(F.col("_g") > F.col("m"), F.col("_g"))).alias("large"))
+    border = means.select("image_id", F.greatest(F.lit(8.0), F.coalesce((F.col("small") + F.col("large")) / 2, F.col("m").cast("double"))).alias("_border"))
+    starts = gaps.join(border, "image_id").withColumn("_new", F.coalesce(F.col("_g") > F.col("_border"), F.lit(True)).cast("int"))
+    numbers = starts.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("image_id", "_k").agg(F.avg("cx").alias("x"))
+    step = numbers.withColumn("_d", F.col("x") - F.lag("x").over(Window.partitionBy("image_id").orderBy("x"))).groupBy("image_id").agg(F.median("_d").alias("cell_px"))
+    return numbers.join(step, "image_id").select("image_id", "x", "cell_px")
+
+
 def modal_pitch(marks: DataFrame, width: Column) -> DataFrame:
     """(image_id, cell_px): the most frequent distance of neighbouring markers in bins of two pixels, within a day's plausible
     width. marks: (image_id, cx, and what `width` names)."""
