@@ -39,6 +39,8 @@ from .common import read, ship
 
 _U = np.uint64
 DEPTH = 5
+#: Bytes of text in a block, about: larger ones hold fewer distinct strings a byte.
+BLOCK = 32 << 20
 _SMALL = 1 << 14
 #: log of gamma(n + 1/2) / gamma(1/2) and of n!, for small n.
 _HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL - 1) + 0.5))])
@@ -415,8 +417,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     Texts where held_out is false train. Defined results: a null or empty text is the end alone; a null id
     is scored like any other; without training texts nothing is known and every bit has probability 1/2."""
     ship(docs.sparkSession)
-    texts = blocked(docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), held_out.alias("held_out")))
-    asked = texts.select("text", F.expr("not held_out").alias("train"), "block").mapInArrow(_count(depth), _ASKED)
+    texts = blocked(docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), held_out.alias("held_out")), limit=BLOCK)
+    # A task's blocks one after another, so that each is counted whole.
+    asked = texts.select("text", F.expr("not held_out").alias("train"), "block").sortWithinPartitions("block").mapInArrow(_count(depth), _ASKED)
     # One exchange serves all that follows: every branch reads all its columns and filters above it only.
     asked = asked.repartition("key")
     totals = asked.groupBy("key").agg(F.sum("n").alias("n"), F.min("block").alias("first"), F.max(F.col("key") < 0).alias("word"))
