@@ -27,6 +27,21 @@ def without(runs: DataFrame, ids: DataFrame) -> DataFrame:
     return runs.join(ids.select("id"), "id", "left_anti")
 
 
+def chosen(runs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The runs of the ids asked for; an id that no run has gives no row."""
+    return runs.join(ids.select("id"), "id", "left_semi")
+
+
+def cleared(runs: DataFrame) -> DataFrame:
+    """An empty history with the same columns."""
+    return runs.limit(0)
+
+
+def counted(runs: DataFrame, *by: str) -> DataFrame:
+    """(by, runs): how many runs there are, of each owner where one is named."""
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"))
+
+
 def cache_state(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """(key, state): hit where the stored digest equals the wanted one, stale where it differs, else miss."""
     j = wanted.select("key", "sha256").join(cached.select("key", F.col("sha256").alias("_have")), "key", "left")
