@@ -178,3 +178,57 @@ def test_calendar_columns_by_two_kinds_of_gaps(spark):
 def test_level_that_parts_two_classes(spark):
     g = spark.createDataFrame([(1, v) for v in [20] * 30 + [25] * 10 + [200] * 50 + [210] * 9] + [(2, 5)], "image_id long, g int")
     assert {r.image_id: r.level for r in px.split_level(g).collect()} == {1: 25}
+
+
+def strip(spark, seed, w=60, h=14):
+    rng = np.random.default_rng(seed)
+    rgb = np.full((h, w, 3), 255)
+    rgb[2:12, 30:56] = (230, 90, 200)
+    rgb[rng.random((h, w)) < 0.25] = 255
+    rgb[rng.random((h, w)) < 0.2] = (60, 60, 60)
+    df = spark.createDataFrame([(1, x, y, *map(int, rgb[y, x])) for y in range(h) for x in range(w)], "image_id long, x int, y int, r int, g int, b int")
+    return rgb, df
+
+
+def test_calendar_glyphs_equal_the_plain_definition(spark):
+    rgb, df = strip(spark, 3)
+    got = {(r.x, r.y) for r in px.calendar_glyphs(df).collect()}
+    c = {(r.x, r.y): (r.g, r.c.s, r.c.v) for r in df.select("x", "y", px.gray(F.col("r"), F.col("g"), F.col("b")).alias("g"), px.hsv(F.col("r"), F.col("g"), F.col("b")).alias("c")).collect()}
+    ink = set()
+    for (x, y), (g, s, v) in c.items():
+        around = [q[0] for (a, b), q in c.items() if abs(a - x) <= 7 and abs(b - y) <= 7]
+        pill = any(q[1] >= 60 for (a, b), q in c.items() if abs(a - x) <= 4 and abs(b - y) <= 4)
+        if g <= round(sum(around) / len(around)) - 6 or (v >= 225 and s <= 60 and pill):
+            ink.add((x, y))
+    square = lambda x, y: {(x, y), (x + 1, y), (x, y + 1), (x + 1, y + 1)}
+    want = set().union(*(square(x, y) for x, y in ink if square(x, y) <= ink))
+    assert got == want and got
+
+
+def test_lattice_finds_dates_with_gaps_and_leaves_empty_strips_out(spark):
+    rows = [(1, 40 + 23 * k + d, y) for k in range(15) if k not in (3, 4, 9) for d in range(6) for y in range(8 - abs(d - 2))]
+    rows += [(2, 50, 1)] + [(3, x, 1) for x in range(400)]
+    found = px.lattice(spark.createDataFrame(rows, "image_id long, x int, y int"), spark.createDataFrame([(1, 20, 420), (2, 20, 420), (3, 0, 400), (4, 0, 30)], "image_id long, x0 int, x1 int")).collect()
+    cells = sorted((r.cell_x, r.cell_px) for r in found)
+    assert {r.image_id for r in found} == {1} and {p for _, p in cells} == {23.0}
+    assert all(min(abs(42.2 + 23 * k - x) for x, _ in cells) < 1.5 for k in range(15))
+
+
+def test_row_label_boxes_stop_at_a_wide_gap(spark):
+    dark = [(1, x + i, 52 + j) for x in (10, 20, 30, 60) for i in range(5) for j in range(8)] + [(1, 5, 90)]
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    bands, region, images = t([(1, 0, 50, 62), (1, 1, 85, 95)], "image_id long, row int, y_top int, y_bot int"), t([(1, 90)], "image_id long, x0 int"), t([(1, 600, 400)], "image_id long, width int, height int")
+    got = {r.row: (r.x0, r.y0, r.x1, r.y1) for r in px.row_label_boxes(t(dark, "image_id long, x int, y int"), bands, region, images).collect()}
+    assert got == {0: (10, 52, 35, 60), 1: (0, 85, 0, 95)}
+
+
+def test_network_input_of_a_flat_image_is_flat(spark):
+    from tidemark.operators import vision
+
+    p = spark.createDataFrame([(1, x, y, 10, 20, 30, 0 if x == 0 else 255) for x in range(6) for y in range(5)], "image_id long, x int, y int, r int, g int, b int, a int")
+    out = vision.network_input(p.where("x > 0").withColumn("x", F.col("x") - 1), spark.createDataFrame([(1, 5, 5)], "image_id long, width int, height int")).collect()
+    assert len(out) == 3 * 384 * 224
+    for k, v in enumerate((10, 20, 30)):
+        assert {round(r.value, 9) for r in out if r.channel == k} == {round((v / 255 - vision.MEAN[k]) / vision.DEVIATION[k], 9)}
+    clear = vision.network_input(p.where("x = 0"), spark.createDataFrame([(1, 1, 5)], "image_id long, width int, height int"), 2, 2).collect()
+    assert {round(r.value, 9) for r in clear if r.channel == 0} == {round((1 - vision.MEAN[0]) / vision.DEVIATION[0], 9)}

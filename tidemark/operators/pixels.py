@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import axes
 from tidemark.sources.readings import DAYS
 
 #: Hue from, hue to, least saturation, least value of each series' ink (hue 0..179).
@@ -29,6 +30,12 @@ ROWS = ("calendar", "CD", "DPO", "Sex", "CM", "Symptoms", "hCG")
 ROW_WORDS = (("cd", "CD"), ("dpo", "DPO"), ("sex", "Sex"), ("cm", "CM"), ("symptoms", "Symptoms"), ("symptom", "Symptoms"), ("hcg", "hCG"))
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 DARK = 200
+#: Dates in colour-independent ink (window, contrast, white from, saturation of pills, reach of a pill), and the
+#: least ink, width, pitch and number of columns of a lattice of them.
+GLYPHS = (7, 6, 225, 60, 4)
+LATTICE = (20, 60, 8, 8)
+#: Area, sides and gap of the letters of a row's label.
+LETTERS = {"area": 6, "width": (2, 90), "height": (4, 40), "gap": 10}
 
 
 # --- colour ------------------------------------------------------------------
@@ -503,6 +510,69 @@ def extend_columns(centres_: DataFrame, pitches: DataFrame, region: DataFrame, d
     return cells.withColumn("cell_x", at).where(F.col("cell_x") <= F.col("x1") + F.col("cell_px")).select("image_id", "cell_idx", "cell_x")
 
 
+def calendar_glyphs(strip: DataFrame) -> DataFrame:
+    """(image_id, x, y): ink of dates in the strip of pixels below a plot, darker than its surroundings or white on a coloured pill,
+    without specks under two by two pixels. Surroundings are the 15 by 15 pixels around, as far as the strip has them."""
+    reach, contrast, white, colour, pill = GLYPHS
+    c = hsv(F.col("r"), F.col("g"), F.col("b"))
+    p = strip.select("image_id", "x", "y", gray(F.col("r"), F.col("g"), F.col("b")).alias("g"), c["s"].alias("s"), c["v"].alias("v"))
+    across, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    p = p.withColumn("sum", F.sum("g").over(across.rangeBetween(-reach, reach))).withColumn("n", F.count("g").over(across.rangeBetween(-reach, reach)))
+    p = p.withColumn("pill", F.max((F.col("s") >= colour).cast("int")).over(across.rangeBetween(-pill, pill)))
+    p = p.withColumn("mean", F.bround(F.sum("sum").over(down.rangeBetween(-reach, reach)) / F.sum("n").over(down.rangeBetween(-reach, reach))))
+    p = p.withColumn("pill", F.max("pill").over(down.rangeBetween(-pill, pill)))
+    ink = p.where((F.col("g") <= F.col("mean") - contrast) | ((F.col("v") >= white) & (F.col("s") <= colour) & (F.col("pill") == 1)))
+    square = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    corners = ink.select("image_id", "x", "y", square.alias("d")).groupBy("image_id", (F.col("x") - F.col("d.i")).alias("x"), (F.col("y") - F.col("d.j")).alias("y"))
+    full = corners.agg(F.count(F.lit(1)).alias("n")).where("n = 4")
+    return full.select("image_id", "x", "y", square.alias("d")).select("image_id", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y")).distinct()
+
+
+def lattice(glyphs: DataFrame, strips: DataFrame, days: int = DAYS) -> DataFrame:
+    """(image_id, cell_idx, cell_x, cell_px): the columns of a table as a regular grid, from the ink of its dates. The pitch is the lag at
+    which the ink of columns repeats, a 12th to a 60th of the width; the phase is the first of those a fortieth of a pitch
+    apart at which teeth a quarter of a pitch wide hold most ink.
+
+    strips: (image_id, x0, x1), x1 exclusive; strips that are narrow, nearly empty, or of fewer than eight columns have no grid."""
+    ink, width, least, columns = LATTICE
+    n = glyphs.groupBy("image_id", "x").agg(F.count(F.lit(1)).alias("n"))
+    wide = strips.where(F.col("x1") - F.col("x0") >= width).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    own = Window.partitionBy("image_id")
+    profile = wide.join(n, ["image_id", "x"], "left").select("image_id", "x0", (F.col("x1") - F.col("x0")).alias("w"), (F.col("x") - F.col("x0")).alias("x"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
+    profile = profile.withColumn("all", F.sum("v").over(own)).withColumn("flat", F.max("v").over(own) == F.min("v").over(own)).where((F.col("all") >= ink) & ~F.col("flat")).drop("all", "flat")
+    found = axes.pitch(profile.select("image_id", "x", "v"), low=2, shares=(60, 12), until=1).select("image_id", F.col("lag").cast("double").alias("lag")).where(F.col("lag") >= least)
+    step = F.greatest(F.lit(0.5), F.col("lag") / 40)
+    tried = profile.join(found, "image_id").withColumn("k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("lag") / step) - 1).cast("int")))).withColumn("phase", F.col("k") * step)
+    off = F.pmod(F.col("x") - F.col("phase"), F.col("lag"))
+    tooth = F.greatest(F.lit(0.0), 1 - F.least(off, F.col("lag") - off) / (F.col("lag") * 0.25))
+    scores = tried.groupBy("image_id", "x0", "w", "lag", "k", "phase").agg(F.round(F.sum(F.col("v") * tooth), 6).alias("score"))
+    best = scores.groupBy("image_id", "x0", "w", "lag").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "phase")).alias("b"))
+    cells = best.withColumn("cells", F.floor((F.col("w") - F.col("b.phase")) / F.col("lag")) + 1).where(F.col("cells") >= columns)
+    each = cells.withColumn("cell_idx", F.explode(F.sequence(F.lit(0), (F.least(F.col("cells"), F.lit(days + 5)) - 1).cast("int"))))
+    return each.select("image_id", "cell_idx", (F.col("x0") + F.col("b.phase") + F.col("cell_idx") * F.col("lag")).alias("cell_x"), F.col("lag").alias("cell_px"))
+
+
+def row_label_boxes(dark: DataFrame, bands: DataFrame, region: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, row, x0, y0, x1, y1), ends exclusive: the box of the label that names a table's row, the leftmost letters without a wide
+    gap, in the image's outer 15 % or up to 5 % into the plot; a box without width where there are none.
+
+    dark: (image_id, x, y) of dark pixels; bands: (image_id, row, y_top, y_bot); images: (image_id, width, height)."""
+    reach = bands.join(region.select("image_id", F.col("x0").alias("plot")), "image_id").join(images.select("image_id", "width", "height"), "image_id")
+    end = F.least(F.col("width"), F.greatest(F.floor(F.col("width") * 0.15), F.col("plot") + F.floor(F.col("width") * 0.05)))
+    reach = reach.withColumn("end", end).where("end >= 20").select("image_id", F.col("row").cast("string").alias("color"), "end", F.greatest(F.lit(0), F.col("y_top") - 2).alias("from"), F.least(F.col("height"), F.col("y_bot") + 2).alias("to"))
+    inside = dark.join(reach, "image_id").where((F.col("x") < F.col("end")) & (F.col("y") >= F.col("from")) & (F.col("y") < F.col("to")))
+    parts = components(inside.select("image_id", "color", "x", "y"))
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    letters = parts.where((F.col("area") >= LETTERS["area"]) & w.between(*LETTERS["width"]) & h.between(*LETTERS["height"]))
+    order = Window.partitionBy("image_id", "color").orderBy("x0", "label")
+    gap = F.coalesce(F.col("x0") - F.lag("x1").over(order) - 1 > LETTERS["gap"], F.lit(False))
+    first = letters.withColumn("gap", gap.cast("int")).withColumn("gaps", F.sum("gap").over(order)).where("gaps = 0")
+    box = first.groupBy("image_id", "color").agg(F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), (F.max("x1") + 1).alias("x1"), (F.max("y1") + 1).alias("y1")).alias("b"))
+    named = bands.withColumn("color", F.col("row").cast("string")).join(box, ["image_id", "color"], "left")
+    side = lambda c, other: F.coalesce(f"b.{c}", other).cast("int").alias(c)
+    return named.select("image_id", "row", side("x0", F.lit(0)), side("y0", F.col("y_top")), side("x1", F.lit(0)), side("y1", F.col("y_bot")))
+
+
 def cells_content(pixels: DataFrame, cells: DataFrame) -> DataFrame:
     """(image_id, row_name, day, text, kind): what a table cell holds, by its row: text where OCR read some, a heart or a circle by the
     share of warm or purple pixels, a dot for anything else.

@@ -13,6 +13,35 @@ WEIGHTS = {"axis": 0.25, "scale": 0.15, "markers": 0.30, "grid": 0.20, "plot": 0
 GRID_SCORES = {"date-row": 1.0, "gridlines": 0.95, "autocorr": 0.80, "marker-spacing": 0.60, "uniform": 0.30}
 GRID_OTHER = 0.4
 LOW = 0.45
+#: Width and height of the network's input, means and deviations of red, green and blue.
+INPUT = (384, 224)
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def _resampled(p: DataFrame, axis: str, size: str, to: int) -> DataFrame:
+    """p (image_id, x, y, r, g, b and sizes) with `axis` brought from `size` to `to` pixels by triangles a pixel wide, source or
+    target, whichever is larger, rounded to whole values."""
+    scale = F.col(size) / F.lit(float(to))
+    reach, middle = F.greatest(F.lit(1.0), scale), F.col(axis) + 0.5
+    low, high = F.ceil((middle - reach) / scale - 0.5), F.floor((middle + reach) / scale - 0.5)
+    at = F.explode(F.sequence(F.greatest(F.lit(0), low).cast("int"), F.least(F.lit(to - 1), high).cast("int")))
+    spread = p.where(F.greatest(F.lit(0), low) <= F.least(F.lit(to - 1), high)).withColumn("_at", at)
+    weight = 1 - F.abs(middle - (F.col("_at") + 0.5) * scale) / reach
+    spread = spread.withColumn("_w", weight).where("_w > 0")
+    other = "y" if axis == "x" else "x"
+    mean = lambda c: F.floor(F.round(F.sum(F.col("_w") * F.col(c)) / F.sum("_w"), 6) + 0.5).cast("int").alias(c)
+    return spread.groupBy("image_id", F.col("_at").alias(axis), other, "width", "height").agg(*[mean(c) for c in "rgb"])
+
+
+def network_input(pixels: DataFrame, images: DataFrame, width: int = INPUT[0], height: int = INPUT[1]) -> DataFrame:
+    """(image_id, channel, y, x, value): images (image_id, width, height) with pixels (image_id, x, y, r, g, b and, where there is one,
+    an alpha a) at the network's size, on white, each colour with its mean taken off, in deviations."""
+    on_white = lambda c: F.floor((F.col(c) * F.col("a") + 255 * (255 - F.col("a"))) / 255.0 + 0.5).cast("int") if "a" in pixels.columns else F.col(c)
+    p = pixels.select("image_id", "x", "y", *[on_white(c).alias(c) for c in "rgb"]).join(images.select("image_id", "width", "height"), "image_id")
+    p = _resampled(_resampled(p, "x", "width", width), "y", "height", height)
+    value = lambda k, c: F.struct(F.lit(k).alias("channel"), ((F.col(c) / 255.0 - MEAN[k]) / DEVIATION[k]).alias("value"))
+    planes = p.withColumn("_p", F.explode(F.array(*[value(k, c) for k, c in enumerate("rgb")])))
+    return planes.select("image_id", "_p.channel", "y", "x", "_p.value")
 
 
 def decode(outputs: DataFrame, threshold: float = PRESENCE) -> DataFrame:

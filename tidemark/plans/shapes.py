@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import axes
 from tidemark.operators import charts as chart
 from tidemark.operators import pixels as px
 from tidemark.operators import stores, vision
@@ -122,6 +123,36 @@ def drawn_places(spark, sf_dir):
     return p.select("image_id", "k", F.round(synthetic.snap_to_grid(F.col("place")), 6).alias("place"), F.round(synthetic.to_fahrenheit(F.col("celsius")), 6).alias("fahrenheit"))
 
 
+def calendar_glyphs(spark, sf_dir):
+    p = _each(spark, sf_dir, 480).selectExpr("image_id", "k % 40 as x", "cast(k div 40 as int) as y")
+    p = p.withColumn("c", F.expr("case when x >= 20 and (x + image_id) % 5 < 2 and y between 3 and 8 then 2 when x >= 20 then 1 when (x + image_id) % 7 < 1 + image_id % 3 and y % 6 < 4 then 0 else 2 end"))
+    rgb = [f"get(array({v}), c) as {n}" for n, v in (("r", "40, 230, 255"), ("g", "40, 90, 255"), ("b", "40, 200, 255"))]
+    return px.calendar_glyphs(p.selectExpr("image_id", "x", "y", *rgb)).select("image_id", "x", "y")
+
+
+def date_lattice(spark, sf_dir):
+    glyphs = _each(spark, sf_dir, 14).selectExpr("image_id", "k", "explode(sequence(0, 4)) as d").selectExpr("image_id", "cast(30 + image_id % 6 + (20 + image_id % 5) * k + d as int) as x", "explode(sequence(0, 5 - d)) as y")
+    return px.lattice(glyphs, _images(spark, sf_dir, "20 as x0", "420 as x1")).select("image_id", "cell_idx", F.round("cell_x", 6).alias("cell_x"), "cell_px")
+
+
+def row_label_boxes(spark, sf_dir):
+    k = _each(spark, sf_dir, 8).where("image_id % 5 <> 0 or k >= 4")
+    dots = k.selectExpr("image_id", "k", "explode(sequence(0, 34)) as i").selectExpr("image_id", "cast(30 + 9 * (k % 4) + if(k % 4 >= 2, image_id % 12, 0) + i % 5 as int) as x", "cast(200 + 40 * (k div 4) + i div 5 as int) as y")
+    bands = _each(spark, sf_dir, 2).selectExpr("image_id", "k as row", "198 + 40 * k as y_top", "210 + 40 * k as y_bot")
+    return px.row_label_boxes(dots, bands, _images(spark, sf_dir, "60 as x0"), _images(spark, sf_dir, "600 as width", "400 as height"))
+
+
+def network_input(spark, sf_dir):
+    p = _each(spark, sf_dir, 180).selectExpr("image_id", "k % 20 as x", "cast(k div 20 as int) as y", *[f"cast((image_id * 31 + k * {m}) % 256 as int) as {c}" for c, m in (("r", 17), ("g", 29), ("b", 41))], "if(k % 9 = 0, 100, 255) as a")
+    planes = vision.network_input(p, _images(spark, sf_dir, "20 as width", "9 as height"), 12, 14)
+    return planes.select("image_id", "channel", "y", "x", F.round("value", 6).alias("value"))
+
+
+def reader_choice(spark, sf_dir):
+    i = _images(spark, sf_dir, "get(array('none', 'template', 'paddle'), cast(image_id % 3 as int)) as prefer", "case when image_id % 4 < 3 then image_id % 4 = 0 end as has_model")
+    return i.select("image_id", axes.reader(F.col("prefer"), F.col("has_model")).alias("reader"))
+
+
 def run_history_get(spark, sf_dir):
     r = charts.runs(spark, sf_dir)
     newest = r.groupBy("owner").agg(F.max("id").alias("id"))
@@ -140,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chart_ink_box, pale_band, marker_blobs, marker_centres, snapped_markers, cover_height, upright_lines, tiled_cells, extended_columns, repaired_labels, table_row_centres,
-        table_cells, table_documents, resized_pixels, work_sizes, measured_days, drawn_lh, drawn_places, run_history_get, run_history_count, run_history_clear,
+        table_cells, table_documents, resized_pixels, work_sizes, measured_days, drawn_lh, drawn_places, calendar_glyphs, date_lattice, row_label_boxes, network_input, reader_choice, run_history_get, run_history_count, run_history_clear,
     )
 }
 
@@ -184,6 +215,27 @@ ORACLE_SQL = {
         select cycle_id, day, 'ratio' as shape, case when lh is not null then round(0.25::double + (top - 0.25::double) * exp(-pow(abs(d), 1.6::double)), 6) end as lh from t
         union all select cycle_id, day, 'level', case when lh is not null then round(5::double + 90::double * exp(-pow(d / 2.5::double, 2) / 2), 6) end from t""",
     "drawn_places": f"""with {_K.format(_I, 3)} select image_id, k, round(round_even((image_id * 7 + k * 31) % 73 / 4::double, 0) / 18, 6) as place, round((350 + (image_id + k) % 40) * 9 / 50::double + 32, 6) as fahrenheit from e""",
+    "calendar_glyphs": f"""with {_I}, p as (select image_id, (k % 40)::int as x, (k // 40)::int as y from i cross join range(0, 480) t(k)),
+        q as (select *, case when x >= 20 and (x + image_id) % 5 < 2 and y between 3 and 8 then 2 when x >= 20 then 1 when (x + image_id) % 7 < 1 + image_id % 3 and y % 6 < 4 then 0 else 2 end as c from p),
+        g as (select image_id, x, y, c, [40, 144, 255][c + 1] as g from q),
+        n as (select a.image_id, a.x, a.y, a.c, a.g, avg(b.g) as mean, max((b.c = 1 and abs(a.x - b.x) <= 4 and abs(a.y - b.y) <= 4)::int) as pill from g a join g b on a.image_id = b.image_id and abs(a.x - b.x) <= 7 and abs(a.y - b.y) <= 7 group by all),
+        ink as (select image_id, x, y from n where g <= round_even(mean, 0) - 6 or (c = 2 and pill = 1)),
+        f as (select image_id, x - i as x, y - j as y from ink cross join range(0, 2) u(i) cross join range(0, 2) v(j) group by all having count(*) = 4)
+        select distinct image_id, (x + i)::int as x, (y + j)::int as y from f cross join range(0, 2) u(i) cross join range(0, 2) v(j)""",
+    "date_lattice": f"""with {_I}, s as (select image_id, 10 + image_id % 6 as x, 20 + image_id % 5 as p from i), v as (select image_id, p, x + p * k + d as x, 6 - d as v from s cross join range(0, 14) t(k) cross join range(0, 5) u(d)),
+        f as (select image_id, p, x, v, f, f * (p / 40::double) as phase from v cross join range(0, 40) r(f)), o as (select *, (x - phase + 600 * p) % p as o from f),
+        t as (select image_id, p, f, phase, round(sum(v * greatest(0::double, 1 - least(o, p - o) / (p * 0.25::double))), 6) as score from o group by 1, 2, 3, 4),
+        b as (select * from t qualify row_number() over (partition by image_id order by score desc, f) = 1)
+        select image_id, c::int as cell_idx, round(20 + phase + c * p, 6) as cell_x, p::double as cell_px from b cross join range(0, 40) r(c) where phase + c * p <= 400""",
+    "row_label_boxes": f"""with {_K.format(_I, 2)}, b as (select *, image_id % 5 <> 0 or k = 1 as named from e)
+        select image_id, k as row, case when named then 30 else 0 end as x0, (case when named then 200 else 198 end + 40 * k)::int as y0,
+          (case when not named then 0 when image_id % 12 <= 6 then 30 + 27 + image_id % 12 + 5 else 44 end)::int as x1, (case when named then 207 else 210 end + 40 * k)::int as y1 from b""",
+    "network_input": f"""with {_K.format(_I, 180)}, c as (select image_id, k % 20 as x, k // 20 as y, k, unnest([0, 1, 2]) as channel, unnest([17, 29, 41]) as m from e),
+        p as (select image_id, x, y, channel, case when k % 9 = 0 then floor(((image_id * 31 + k * m) % 256 * 100 + 255 * 155) / 255::double + 0.5::double) else (image_id * 31 + k * m) % 256 end as v from c),
+        h as (select image_id, channel, i as x, y, floor(round(sum(v * w) / sum(w), 6) + 0.5::double) as v from (select p.*, t.i, 1 - abs(x + 0.5::double - (t.i + 0.5::double) * 20 / 12) / (20 / 12::double) as w from p cross join range(0, 12) t(i)) where w > 0 group by 1, 2, 3, 4),
+        d as (select image_id, channel, x, i as y, floor(round(sum(v * w) / sum(w), 6) + 0.5::double) as v from (select h.*, t.i, 1 - abs(y + 0.5::double - (t.i + 0.5::double) * 9 / 14) as w from h cross join range(0, 14) t(i)) where w > 0 group by 1, 2, 3, 4)
+        select image_id, channel, y::int as y, x::int as x, round((v / 255::double - [0.485, 0.456, 0.406][channel + 1]::double) / [0.229, 0.224, 0.225][channel + 1]::double, 6) as value from d""",
+    "reader_choice": f"with {_I} select image_id, case image_id % 3 when 0 then 'noop' when 1 then 'template' else case when image_id % 4 = 0 then 'paddle' else 'template' end end as reader from i",
     "run_history_get": f"with {charts._RUNS} select id, owner, created_at, title from ru qualify row_number() over (partition by owner order by id desc) = 1",
     "run_history_count": f"with {charts._RUNS} select owner, count(*) as runs from ru group by 1",
     "run_history_clear": "select 0::bigint as runs",
