@@ -1,6 +1,6 @@
 """Operator 10, byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text's encoding is a monoid element (bytes, token ids). Texts are halved until a leaf, leaves
+A text's encoding is a monoid element (bytes, token ids). Texts are halved until a leaf of 256 characters, leaves
 are encoded by the rank table, and neighbours are joined: a window around the seam grows, in doubling
 steps on both sides, until it starts and ends at a place that parts the text whatever stands around it. Such
 places are those where a non-space character meets a plain space (no match of the split pattern holds
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import read, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
-LEAF_CHARS = 1 << 10
+LEAF_CHARS = 1 << 8
 LEAF_IDS = 1 << 14
 OUT_BYTES = 8 << 20
 _SPACES = " \n\t\r"
