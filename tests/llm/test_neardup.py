@@ -111,3 +111,12 @@ def test_estimates_drop_fewer_pairs_than_bands():
         return sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k < least - 1e-9)
 
     assert max(map(lower, range(1, neardup.REGISTERS + 1))) < (1 - 0.8**neardup.ROWS) ** neardup.BANDS / 10
+
+
+def test_rounds_do_not_multiply_size_estimates(spark):
+    n = 300
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+    found = components(df)
+    # The digits of the estimated bytes of a result tripled with each round of joins.
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**150
+    assert {(r.node, r.comp) for r in found.collect()} == {(i, 0) for i in range(n + 1)}

@@ -87,3 +87,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_unsized(df: DataFrame) -> DataFrame:
+    """cut for loops. A checkpoint keeps the planner's estimate of its bytes, and a join's estimate is the product of its sides': a
+    loop that joins its own results multiplies the number's length in each round, until the number alone fills the driver.
+    Here the size is unknown, which to the planner is a fixed large number; rows and partitioning stay."""
+    done = cut(df)
+    plan, session = done._jdf.queryExecution().logical(), df.sparkSession
+    none = session._jvm.scala.Option.empty()
+    plan = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session._jsparkSession, none, none)
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut_unsized as cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     that others point to are left, a constant share less each round whatever the links and ids, so all rounds together
     cost little more than the first, and their number grows with the logarithm of the nodes. A link is one row, and its
     ends are renamed one at a time with double rows dropped between, so a hub's leaves are one row before the hub's
-    own rename. Each round is cut: a lost executor costs one round at most. Null nodes have no links."""
+    own rename. Each round is cut, without size estimates: a lost executor costs one round at most. Null nodes have no links."""
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
     pair = lambda x, y: (F.greatest(x, y).alias("x"), F.least(x, y).alias("y"))
     edges = cut(links.where(f"`{a}` <> `{b}`").select(*pair(a, b)).distinct())
