@@ -47,3 +47,14 @@ def test_run_history_by_owner_before_1970(spark, con, tmp_path):
     want = c.execute(registry.ORACLE_SQL["run_history_by_owner"]).fetchall()
     assert min(r[2] for r in want) < 0
     assert sorted(tuple(r) for r in registry.QUERIES["run_history_by_owner"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_stat_chips_of_cycles_whose_rise_is_near_half_a_cent(spark, tmp_path):
+    """Users 877, 163, 162 and 498 of larger tables: their rise is below half a cent in binary, and above or at it in the shortest decimal."""
+    c = duckdb.connect()
+    moved = "select * replace (user_id + case user_id when 877 then 1500 when 163 then 1500 when 162 then 3000 else 4500 end as user_id)"
+    c.execute(f"copy ({moved} from '/root/testdata/sf0.1/events.parquet' where user_id in (877, 163, 162, 498)) to '{tmp_path}/events.parquet' (format parquet)")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = c.execute(registry.ORACLE_SQL["stat_chips"]).fetchall()
+    assert sorted(tuple(r) for r in registry.QUERIES["stat_chips"](spark, str(tmp_path)).collect()) == sorted(want)
+    assert len(want) == 4 and all("°C" in r[1] for r in want)
