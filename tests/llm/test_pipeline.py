@@ -129,3 +129,17 @@ def test_odd_rows_pass_every_stage(spark):
             assert df.count() >= bool(rows), name
             assert [c for c in df.columns if c != "text"][:5] == ["doc_id", "lang", "source", "n_chars", "_quality"], name
     assert near_brute([(1, text)])[0][0] > 0
+
+
+def test_near_duplicates_of_a_chain_keep_size_estimates_short(spark):
+    """Each text resembles the next one only, so that their links take several rounds; the estimated bytes had three times as many digits after each."""
+    stream = [f"w{i}" for i in range(1200)]
+    df = spark.createDataFrame([(i, " ".join(stream[6 * i : 6 * i + 120])) for i in range(160)], "doc_id long, text string")
+    left = cp.near_duplicates(spark, df, "")
+
+    def largest(plan):
+        below = plan.children()
+        return max([plan.stats().sizeInBytes(), *[largest(below.apply(i)) for i in range(below.size())]])
+
+    assert largest(left._jdf.queryExecution().optimizedPlan()) < 10**150
+    assert [r.doc_id for r in left.collect()] == [0]
